@@ -30,8 +30,6 @@ from . import shared
 BUCKET_ENTRIES = 50_000
 #: Bytes of texts that a task holds to collapse copies it reads itself.
 WINDOW_BYTES = 32 << 20
-#: Bits of the table that tells which texts may have to be compared, as a power of two.
-FILTER_BITS = 24
 #: Bits of the key that one directory pass looks at.
 PASS_BITS = 10
 SPACE = frozenset(b" \t\n\v\f\r")
@@ -126,19 +124,6 @@ def index(entries: DataFrame, folder: str, capacity: int = BUCKET_ENTRIES) -> Da
     return entries.sparkSession.read.schema("key long, entry long, doc_id long, n long, bucket int").parquet(path)
 
 
-def perhaps(rows: DataFrame, crowded: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose key may be one of ``crowded``, by a bit table of fixed size.
-
-    The table has 2 ** (bits - 6) rows at most whatever the input, so it is broadcast; a full
-    one lets more rows pass and loses none.
-    """
-    slot = F.shiftrightunsigned(F.col("key"), 64 - bits)
-    word = F.shiftrightunsigned(slot, 6)
-    table = crowded.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int))")).alias("set"))
-    hit = F.expr(f"(shiftrightunsigned(set, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int)) & 1) = 1")
-    return rows.withColumn("word", word).join(F.broadcast(table), "word").where(hit).drop("word", "set")
-
-
 def chains(crowded: DataFrame) -> DataFrame:
     """Walks each key's chain: every entry with the first entry of the same bytes."""
 
@@ -172,7 +157,7 @@ def duplicates(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     shared.drop(docs.sparkSession, folder, "entries")
     busy = placed.groupBy("bucket", "key").agg(F.count("*").alias("held")).where("held > 1")
     crowded = shared.written(placed.join(busy, ["bucket", "key"]).select("key", "entry"), folder, "crowded")
-    opened = perhaps(rows.where("text is not null").select("entry", "key", "text"), crowded)
+    opened = shared.perhaps(rows.where("text is not null").select("entry", "key", "text"), crowded, "key")
     same = shared.written(chains(opened.drop("key").join(crowded.hint("merge"), "entry")), folder, "chains")
     classed = placed.join(same, "entry", "left").select("entry", "doc_id", "n", F.coalesce("first", "entry").alias("first"))
     sizes = classed.groupBy("first").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))

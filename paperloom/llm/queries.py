@@ -38,6 +38,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import hexed
+    from .suffixarray import trimmed
+
+    found = trimmed(read(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", hexed(F.col("digest")).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exactdedup import duplicates
     from .shared import hexed
@@ -54,7 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op4_best_fit_packing, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op3_toxicity, op4_best_fit_packing, op8_suffix_array_dedup, op9_exact_dedup, op10_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {}

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
+#: Bits of a table that tells which keys may be wanted, as a power of two: 4 MB of rows.
+FILTER_BITS = 24
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -135,6 +139,31 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+def perhaps(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` may be among those of ``wanted``, by a bit table of fixed size.
+
+    The table has 2 ** (bits - 6) rows at most whatever the input, so it is broadcast; a full
+    one lets more rows pass and loses none.  A join on the key itself has to follow.
+    """
+    hashed = F.xxhash64(F.col(key))
+    word = F.shiftrightunsigned(hashed, 70 - bits)
+    bit = f"cast(shiftrightunsigned(xxhash64({key}), {64 - bits}) & 63 AS int)"
+    table = wanted.groupBy(word.alias("filter_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("filter_set"))
+    hit = F.expr(f"(shiftrightunsigned(filter_set, {bit}) & 1) = 1")
+    return rows.withColumn("filter_word", word).join(F.broadcast(table), "filter_word").where(hit).drop("filter_word", "filter_set")
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """Rows that repeat a doc_id count as one document, that with the smallest text.
+
+    Most tables have none; then the documents are passed on as they are and not shuffled.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return docs.select("doc_id", "text")
+    return docs.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def components(edges: DataFrame, folder: str, name: str, rounds: int = 40) -> DataFrame:
     """Connected components of an undirected edge table ``(a, b)`` of longs.
 
