@@ -153,6 +153,29 @@ def perhaps(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BIT
     return rows.withColumn("filter_word", word).join(F.broadcast(table), "filter_word").where(hit).drop("filter_word", "filter_set")
 
 
+def without(rows: DataFrame, unwanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` is not among those of ``unwanted``; all their columns.
+
+    Rows that a bit table of fixed size clears are not shuffled; the rest are anti-joined.
+    """
+    hashed = F.xxhash64(F.col(key))
+    bit = f"cast(shiftrightunsigned(xxhash64({key}), {64 - bits}) & 63 AS int)"
+    word = F.shiftrightunsigned(hashed, 70 - bits)
+    table = unwanted.groupBy(word.alias("filter_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("filter_set"))
+    flagged = rows.withColumn("filter_word", word).join(F.broadcast(table), "filter_word", "left")
+    hit = F.coalesce(F.expr(f"(shiftrightunsigned(filter_set, {bit}) & 1) = 1"), F.lit(False))
+    clear = flagged.where(~hit).select(*rows.columns)
+    return clear.unionByName(flagged.where(hit).select(*rows.columns).join(unwanted.select(key).hint("merge"), key, "left_anti").select(*rows.columns))
+
+
+def one_row(docs: DataFrame) -> DataFrame:
+    """Whole rows, of those that repeat a doc_id the smallest; not shuffled where none does."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs
+    rows = docs.select("doc_id", F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row"))
+    return rows.groupBy("doc_id").agg(F.min("row").alias("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def one_each(docs: DataFrame) -> DataFrame:
     """Rows that repeat a doc_id count as one document, that with the smallest text.
 

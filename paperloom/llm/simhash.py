@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .wordhash import mix
 
 #: Lane k of entry b is bit k of byte b.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
@@ -46,7 +47,7 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A fingerprint for each run of ``counts`` hashes: bits set in over half of a run."""
+    """A 64-bit fingerprint for each run of ``counts`` hashes: bits set in over half of a run."""
     out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
@@ -64,8 +65,11 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, width: int = 1) -> DataFrame:
+    """``doc_id`` and the fingerprint: a signed long, or ``8 * width`` bytes for a wide one.
+
+    Further words of a wide fingerprint come of the same shingle hashes, mixed anew.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.chunks(batches):
@@ -74,10 +78,15 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                 found = shingle_hashes(text, words, seed)
                 counts.append(len(found))
                 hashes.append(np.array(found, np.uint64))
-            prints = majority(np.concatenate(hashes), np.array(counts, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            hashed, runs = np.concatenate(hashes), np.array(counts, np.int64)
+            prints = [majority(hashed if not k else mix(hashed + np.uint64(k)), runs) for k in range(width)]
+            if width == 1:
+                column = pa.array(prints[0].view(np.int64))
+            else:
+                column = pa.array([row.tobytes() for row in np.stack(prints, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "fp"])
 
-    return shared.mapped(shared.texts(docs), run, "doc_id long, fp long")
+    return shared.mapped(shared.texts(docs), run, f"doc_id long, fp {'long' if width == 1 else 'binary'}")
 
 
 def block_keys(fp: Column, bits: int, blocks: int) -> Column:
@@ -87,8 +96,16 @@ def block_keys(fp: Column, bits: int, blocks: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *[piece[k] for k in chosen]) for i, chosen in enumerate(combinations(range(blocks), blocks - bits))])
 
 
+def wide_keys(fp: Column, width: int, block_bytes: int = 2) -> Column:
+    """An array of one key for each block of a wide fingerprint."""
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(fp, 1 + i * block_bytes, block_bytes)) for i in range(8 * width // block_bytes)])
+
+
 def close_pairs(prints: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``bits`` bits inside runs that begin at ``starts``; memory stays bounded by tiles."""
+    """Index pairs within ``bits`` bits inside runs that begin at ``starts``; memory stays bounded by tiles.
+
+    ``prints`` has a row of 64-bit words for each fingerprint.
+    """
     left, right = [], []
     sizes = np.diff(starts)
     small = sizes <= 64
@@ -98,14 +115,17 @@ def close_pairs(prints: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.n
     step = 1
     while len(at):
         at = at[at + step < ends[at]]
-        near = np.bitwise_count(prints[at] ^ prints[at + step]) <= bits
+        near = np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1, dtype=np.int32) <= bits
         left.append(at[near])
         right.append(at[near] + step)
         step += 1
     for k in np.flatnonzero(~small):
         own = prints[starts[k] : starts[k + 1]]
         for i in range(0, len(own), 256):
-            a, b = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= bits)
+            apart = np.zeros((len(own[i : i + 256]), len(own) - i), np.int16)
+            for word in own.T:
+                apart += np.bitwise_count(word[i : i + 256, None] ^ word[None, i:])
+            a, b = np.nonzero(apart <= bits)
             ahead = b > a
             left.append(a[ahead] + i + starts[k])
             right.append(b[ahead] + i + starts[k])
@@ -113,14 +133,14 @@ def close_pairs(prints: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def links(nodes: DataFrame, bits: int, blocks: int, hot: int = HOT_KEY) -> DataFrame:
+def links(nodes: DataFrame, keys: Column, bits: int, hot: int = HOT_KEY) -> DataFrame:
     """Edges ``(a, b)`` that connect whatever nodes ``(node, fp)`` lie within ``bits`` bits.
 
     A task emits a spanning forest of its key's links, not the pairs.  Fingerprints must
     be distinct.  A key with more than ``hot`` of them is cut into s parts and dealt out
     as tiles of two parts, so a task holds two parts at most.
     """
-    keyed = nodes.select("node", "fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
+    keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / hot).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -134,8 +154,13 @@ def links(nodes: DataFrame, bits: int, blocks: int, hot: int = HOT_KEY) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shared.groups(batches, ["tile"]):
-            tile, prints, ids = (table.column(c).to_numpy() for c in ("tile", "fp", "node"))
-            left, right = close_pairs(prints.view(np.uint64), shared.runs(tile), bits)
+            tile, ids = (table.column(c).to_numpy() for c in ("tile", "node"))
+            prints = table.column("fp").combine_chunks()
+            if pa.types.is_binary(prints.type):
+                words = shared.text_buffers(prints)[0].view(np.uint64).reshape(len(ids), -1)
+            else:
+                words = prints.to_numpy().view(np.uint64)[:, None]
+            left, right = close_pairs(words, shared.runs(tile), bits)
             label = shared.forest(len(ids), left, right)
             other = np.flatnonzero(label != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[label[other]]), pa.array(ids[other])], ["a", "b"])
@@ -143,12 +168,20 @@ def links(nodes: DataFrame, bits: int, blocks: int, hot: int = HOT_KEY) -> DataF
     return shared.mapped(dealt.select("tile", "fp", "node").repartition("tile").sortWithinPartitions("tile"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 5, seed: int = 42) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest doc_id that links lead to, itself included."""
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 5, seed: int = 42, width: int = 1) -> DataFrame:
+    """``doc_id, fp, component_id``: the smallest doc_id that links lead to, itself included.
+
+    With 64-bit fingerprints every pair within ``bits`` bits meets (see ``block_keys``).  A
+    wide one is for looser likeness, where a fixed count of blocks can't vouch for a pair:
+    two shingle sets of Jaccard likeness j differ in about acos(2j / (1 + j)) / pi of their
+    bits, so with 512 bits in 32 blocks a pair of likeness 0.8 shares a block 9 times of 10,
+    one of 0.85 49 times of 50 and one of 0.9 always but for 1 in 500.
+    """
     folder = shared.work_folder(docs.sparkSession)
-    prints = shared.written(fingerprints(docs, words, seed), folder, "prints")
+    prints = shared.written(fingerprints(docs, words, seed, width), folder, "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     nodes = shared.written(nodes, folder, "nodes")
-    found = shared.components(links(nodes, bits, blocks), folder, "components")
+    keys = block_keys(F.col("fp"), bits, blocks) if width == 1 else wide_keys(F.col("fp"), width)
+    found = shared.components(links(nodes, keys, bits), folder, "components")
     labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")

@@ -345,11 +345,8 @@ def kept_bytes(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, runs
 
 
-def trimmed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, digest`` of every document, and the kept bytes if asked for.
-
-    With texts, only documents that lose bytes have one; of the others it is null.
-    """
+def trimmed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, digest`` of every document; digest: of the kept bytes."""
     docs = shared.one_each(docs)
     folder = shared.work_folder(docs.sparkSession)
     survey, spans = repeats(docs, folder, length, gram)
@@ -359,11 +356,32 @@ def trimmed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text:
         for batch in shared.chunks(batches):
             kept = [kept_bytes(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             columns = [batch.column("doc_id"), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[0]).digest() for k in kept], pa.binary())]
-            columns.append(pa.array([k[0] if with_text else None for k in kept], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_removed", "n_spans", "now", "bytes"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_removed", "n_spans", "now"])
 
-    changed = shared.mapped(texts, run, "doc_id long, n_removed long, n_spans long, now binary, bytes binary")
+    changed = shared.mapped(texts, run, "doc_id long, n_removed long, n_spans long, now binary")
     zero = F.lit(0).cast("long")
-    return survey.join(changed.hint("merge"), "doc_id", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("now", "digest").alias("digest"), *["bytes"] * with_text
-    )
+    return survey.join(changed.hint("merge"), "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("now", "digest").alias("digest"))
+
+
+def rewritten(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeats cut out of their texts, all columns and rows kept.
+
+    Bytes of characters that a cut goes through go too, so texts stay valid; ``n_chars``, if
+    there is one, follows the text.  Rows that repeat a doc_id are one row first.
+    """
+    docs = shared.one_row(docs)
+    folder = shared.work_folder(docs.sparkSession)
+    _, spans = repeats(docs, folder, length, gram)
+    same = shared.without(docs, spans, "doc_id")
+    some = shared.perhaps(docs, spans.select("doc_id"), "doc_id").join(spans.withColumnRenamed("spans", "cut_spans").hint("merge"), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [kept_bytes((t or "").encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("cut_spans").to_pylist(), strict=True)]
+            columns = {name: batch.column(name) for name in names} | {"text": pa.array(text, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in text], pa.int64()).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    names = docs.columns
+    return same.unionByName(some.select(*names, "cut_spans").mapInArrow(run, docs.schema))
