@@ -23,6 +23,14 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import hexed
+    from .substring import trimmed
+
+    found = trimmed(read(spark, sf_dir, "documents"), length=13)
+    return found.select("doc_id", "n_words", "n_removed", hexed(F.col("digest")).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import scores, train
 
@@ -62,7 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op4_best_fit_packing, op8_suffix_array_dedup, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_best_fit_packing, op8_suffix_array_dedup, op9_exact_dedup, op10_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {}

@@ -156,20 +156,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     sums = wordhash.prefix_sums(wordhash.BYTES[data])
     count = len(data) - gram + 1
     hashes = wordhash.mix((sums[gram:] - sums[:count]) * wordhash.powers(wordhash.inverse(wordhash.BASES[0]), count))
-    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(count, dtype=np.uint64)
-    width, among = 1, length - gram + 1
-    while 2 * width <= among:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < among:
-        least = np.minimum(least[: width - among], least[among - width :])
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ends = np.maximum(offsets[1:] - length + 1, offsets[:-1])
-    sizes = ends - offsets[:-1]
-    start = np.arange(sizes.sum()) + np.repeat(offsets[:-1] - np.cumsum(sizes) + sizes, sizes)
-    cuts = shared.runs(at[start])[:-1] if len(start) else none
-    first = start[cuts]
-    return np.searchsorted(offsets, first, side="right") - 1, first, np.diff(np.append(cuts, len(start))), hashes[at[first]].view(np.int64)
+    owner, first, windows, at = wordhash.anchored(hashes, offsets, length, gram)
+    return owner, first, windows, hashes[at].view(np.int64)
 
 
 def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:

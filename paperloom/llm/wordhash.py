@@ -60,3 +60,32 @@ def token_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     closes[last] = solid[last]
     ends = np.flatnonzero(closes) + 1
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def anchored(hashes: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share an anchor.
+
+    ``hashes`` has one for each run of ``gram`` symbols, ``offsets`` where texts begin.  A
+    window of ``length`` symbols has as anchor its gram with the smallest hash, the leftmost of
+    equals, so equal windows have equal anchors at equal places.  Returns text number, first
+    window's start, number of windows and the anchor's place, for each run inside a text.
+    """
+    none = np.zeros(0, np.int64)
+    width, among = 1, length - gram + 1
+    if len(hashes) < among:
+        return none, none, none, none
+    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    while 2 * width <= among:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < among:
+        least = np.minimum(least[: width - among], least[among - width :])
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    sizes = np.maximum(offsets[1:] - length + 1, offsets[:-1]) - offsets[:-1]
+    start = np.arange(sizes.sum()) + np.repeat(offsets[:-1] - np.cumsum(sizes) + sizes, sizes)
+    if not len(start):
+        return none, none, none, none
+    place = at[start]
+    cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    first = start[cuts]
+    return np.searchsorted(offsets, first, side="right") - 1, first, np.diff(np.append(cuts, len(start))), place[cuts]
