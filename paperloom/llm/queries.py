@@ -46,6 +46,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import hexed
     from .suffixarray import trimmed
@@ -70,7 +76,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_best_fit_packing, op8_suffix_array_dedup, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_best_fit_packing, op6_embedding_near_dedup, op8_suffix_array_dedup, op9_exact_dedup, op10_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {}
