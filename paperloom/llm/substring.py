@@ -32,7 +32,7 @@ from . import shared, wordhash
 
 WORDS = 13
 #: Different surroundings of an anchor that one task compares; more are dealt out by window.
-HOT_ANCHOR = 1000
+HOT_ANCHOR = 20_000
 SOLID = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 
 

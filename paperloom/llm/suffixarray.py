@@ -10,8 +10,8 @@ Repeats over a corpus.  Whether a string of ``length`` bytes starts anywhere els
 sorting of the whole corpus in one place.  Every such window has one anchor, the window's
 ``gram`` bytes with the smallest hash (the leftmost of equals), which depends on its bytes
 only; equal windows thus share their anchor's bytes and meet in that anchor's group.  A group
-is sorted by suffix array if it holds different surroundings of its anchor; the windows of
-surroundings that occur twice as a whole are repeats already and are sorted with weight two.
+with different surroundings of its anchor is sorted by suffix array, each cut to what another
+one shares with it; surroundings that occur twice as a whole are repeats as a whole.
 A group with very many different surroundings is dealt out by window instead.
 
 Cases: a null text counts as empty; matches never cross documents; texts shorter than
@@ -36,9 +36,9 @@ from . import shared, wordhash
 LENGTH = 200
 GRAM = 48
 #: Different surroundings of an anchor that one task sorts; more are dealt out by window.
-HOT_ANCHOR = 500
+HOT_ANCHOR = 20_000
 #: Bytes that one suffix array covers.
-SORT_BYTES = 1 << 18
+SORT_BYTES = 1 << 16
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -148,16 +148,15 @@ def smallest_chain(smaller: list[int], last: int) -> Iterator[int]:
         last = smaller[last]
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: text number, first start in ``data``, windows, hash."""
-    none = np.zeros(0, np.int64)
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: text number, first start in ``data``, windows, the anchor's place after that start, its hash."""
     if len(data) < length:
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 5
     sums = wordhash.prefix_sums(wordhash.BYTES[data])
     count = len(data) - gram + 1
     hashes = wordhash.mix((sums[gram:] - sums[:count]) * wordhash.powers(wordhash.inverse(wordhash.BASES[0]), count))
     owner, first, windows, at = wordhash.anchored(hashes, offsets, length, gram)
-    return owner, first, windows, hashes[at].view(np.int64)
+    return owner, first, windows, at - first, hashes[at].view(np.int64)
 
 
 def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -166,23 +165,23 @@ def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.chunks(batches, most=1 << 20):
             data, offsets = shared.text_buffers(batch.column("text"))
-            owner, first, windows, anchor = anchors(data, offsets, length, gram)
+            owner, first, windows, ahead, anchor = anchors(data, offsets, length, gram)
             cuts = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (anchor, (first - offsets[owner]).astype(np.int32), windows.astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (anchor, (first - offsets[owner]).astype(np.int32), windows.astype(np.int32), ahead.astype(np.int32))]
             digests = [hashlib.sha256(memoryview(data[a:b])).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), *lists], ["doc_id", "n_bytes", "digest", "anchor", "first", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), *lists], ["doc_id", "n_bytes", "digest", "anchor", "first", "windows", "ahead"])
 
-    return shared.mapped(shared.texts(docs), run, "doc_id long, n_bytes long, digest binary, anchor array<long>, first array<int>, windows array<int>")
+    return shared.mapped(shared.texts(docs), run, "doc_id long, n_bytes long, digest binary, anchor array<long>, first array<int>, windows array<int>, ahead array<int>")
 
 
 def surroundings(held: DataFrame, length: int) -> DataFrame:
     """Cuts out the bytes around each repeated anchor; a task sends equal ones once a window of some."""
-    schema = "anchor long, hash1 long, hash2 long, doc_id long, first int, windows int, bytes binary"
+    schema = "anchor long, hash1 long, hash2 long, doc_id long, first int, windows int, ahead int, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in shared.chunks(batches, most=1 << 20):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for doc, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spots")), strict=True):
                 for spot in spots:
                     first, windows = spot["first"], spot["windows"]
@@ -191,12 +190,12 @@ def surroundings(held: DataFrame, length: int) -> DataFrame:
                     new = digest not in seen
                     if new:
                         seen.add(digest)
-                    for column, value in zip(out, (spot["anchor"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, first, windows, part if new else None), strict=True):
+                    for column, value in zip(out, (spot["anchor"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, first, windows, spot["ahead"], part if new else None), strict=True):
                         column.append(value)
             if len(seen) > 200_000:
                 seen.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "hash1", "hash2", "doc_id", "first", "windows", "bytes"])
+            kinds = (*[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "hash1", "hash2", "doc_id", "first", "windows", "ahead", "bytes"])
 
     return shared.mapped(held, run, schema)
 
@@ -235,40 +234,93 @@ def sorted_windows(parts: list[bytes], windows: list[int], weights: list[int], l
 SPANS = "anchor long, hash1 long, hash2 long, starts array<int>, ends array<int>"
 
 
-def spans_batch(keys: list[tuple], found: list[np.ndarray], length: int) -> pa.RecordBatch:
-    runs = [covered(f, length) for f in found]
-    columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
-    columns += [pa.array([r[i].tolist() for r in runs], pa.list_(pa.int32())) for i in range(2)]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "hash1", "hash2", "starts", "ends"])
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
 
 
-def grouped_spans(mixed: DataFrame, length: int) -> DataFrame:
+def furthest(sides: list[bytes]) -> list[int]:
+    """For each string the longest prefix that it shares with another of the list."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    best = [0] * len(sides)
+    for i, j in zip(order, order[1:], strict=False):
+        n = common(sides[i], sides[j])
+        best[i], best[j] = max(best[i], n), max(best[j], n)
+    return best
+
+
+class Sorting:
+    """Gathers anchors' groups until their strings fill a suffix array, then tells the repeats.
+
+    A surrounding is cut to what its neighbours on either side of the anchor share with it:
+    no window that reaches beyond can repeat.  Equal cuts are sorted once, with their weight.
+    """
+
+    def __init__(self, length: int, gram: int):
+        self.length, self.gram = length, gram
+        self.whole: list[tuple[tuple, int]] = []
+        self.cuts: list[tuple[tuple, int, int]] = []  # key, part, window that the part starts with
+        self.parts: list[bytes] = []
+        self.weights: list[int] = []
+        self.held = 0
+
+    def add(self, group: list[tuple[tuple, int, int, int, bytes]]) -> None:
+        """Rows of key, windows, place of the anchor, weight, bytes of one anchor."""
+        right = furthest([part[at + self.gram :] for _, _, at, _, part in group])
+        left = furthest([part[:at][::-1] for _, _, at, _, part in group])
+        known: dict[tuple[int, bytes], int] = {}
+        for (key, windows, at, weight, part), before, after in zip(group, left, right, strict=True):
+            if weight > 1:
+                self.whole.append((key, windows))
+            first, last = max(0, at - before), min(windows - 1, at + self.gram + after - self.length)
+            if first > last:
+                continue
+            cut = (at - first, part[first : last + self.length])
+            if cut not in known:
+                known[cut] = len(self.parts)
+                self.parts.append(cut[1])
+                self.weights.append(0)
+                self.held += len(cut[1])
+            self.weights[known[cut]] += weight
+            if weight == 1:
+                self.cuts.append((key, known[cut], first))
+
+    def close(self) -> pa.RecordBatch:
+        windows = [len(p) - self.length + 1 for p in self.parts]
+        found = [covered(f, self.length) for f in sorted_windows(self.parts, windows, self.weights, self.length)] if self.parts else []
+        rows = [(key, [0], [n + self.length - 1]) for key, n in self.whole]
+        rows += [(key, (found[part][0] + first).tolist(), (found[part][1] + first).tolist()) for key, part, first in self.cuts if len(found[part][0])]
+        columns = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(3)]
+        columns += [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (1, 2)]
+        self.__init__(self.length, self.gram)
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "hash1", "hash2", "starts", "ends"])
+
+
+def grouped_spans(mixed: DataFrame, length: int, gram: int) -> DataFrame:
     """Repeats within each anchor's group; rows of a group arrive together, several groups a sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple] = []
-        parts: list[bytes] = []
-        windows: list[int] = []
-        weights: list[int] = []
-        held, last = 0, None
+        sorting, group, last = Sorting(length, gram), [], None
         for batch in shared.chunks(batches, "bytes"):
-            for anchor, one, two, n, weight, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash1", "hash2", "windows", "weight", "bytes")), strict=True):
+            for anchor, one, two, windows, ahead, weight, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash1", "hash2", "windows", "ahead", "weight", "bytes")), strict=True):
                 key = (anchor, one, two)
                 if key == last:
                     continue  # another task sent the same bytes
-                if held > SORT_BYTES and anchor != last[0]:
-                    yield spans_batch(keys, sorted_windows(parts, windows, weights, length), length)
-                    keys, parts, windows, weights, held = [], [], [], [], 0
+                if last and anchor != last[0]:
+                    sorting.add(group)
+                    group = []
+                    if sorting.held > SORT_BYTES:
+                        yield sorting.close()
                 last = key
-                keys.append(key)
-                parts.append(part)
-                windows.append(n)
-                weights.append(weight)
-                held += len(part)
-        if keys:
-            yield spans_batch(keys, sorted_windows(parts, windows, weights, length), length)
-
-    dealt = mixed.select("anchor", "hash1", "hash2", "windows", "weight", "bytes").repartition("anchor").sortWithinPartitions("anchor", "hash1", "hash2")
+                group.append((key, windows, ahead, weight, part))
+        if group:
+            sorting.add(group)
+        yield sorting.close()
+
+    dealt = mixed.select("anchor", "hash1", "hash2", "windows", "ahead", "weight", "bytes").repartition("anchor").sortWithinPartitions("anchor", "hash1", "hash2")
     return shared.mapped(dealt, run, SPANS)
 
 
@@ -288,14 +340,14 @@ def repeats(docs: DataFrame, folder: str, length: int = LENGTH, gram: int = GRAM
     """All documents' sizes and digests, and the spans to remove of those that have any."""
     spark = docs.sparkSession
     survey = shared.written(surveyed(docs, length, gram), folder, "survey")
-    spots = survey.select("doc_id", F.explode(F.arrays_zip("anchor", "first", "windows")).alias("s")).select("doc_id", "s.*")
+    spots = survey.select("doc_id", F.explode(F.arrays_zip("anchor", "first", "windows", "ahead")).alias("s")).select("doc_id", "s.*")
     common = shared.written(spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), folder, "common")
     spots = shared.perhaps(spots, common, "anchor").join(common.hint("merge"), "anchor")
-    by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("spots"))
+    by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "ahead")).alias("spots"))
     by_doc = shared.written(by_doc, folder, "spots")
     some = shared.perhaps(shared.texts(docs), by_doc.select("doc_id"), "doc_id")
     found = shared.written(surroundings(some.join(by_doc.hint("merge"), "doc_id"), length), folder, "surroundings")
-    kinds = found.groupBy("anchor", "hash1", "hash2").agg(F.count("*").alias("weight"), F.first("windows").alias("windows"))
+    kinds = found.groupBy("anchor", "hash1", "hash2").agg(F.count("*").alias("weight"), F.first("windows").alias("windows"), F.first("ahead").alias("ahead"))
     kinds = shared.written(kinds, folder, "kinds")
     # A place in two texts can share an anchor's hash with no other of its kind left.
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
@@ -303,12 +355,12 @@ def repeats(docs: DataFrame, folder: str, length: int = LENGTH, gram: int = GRAM
     alone = kinds.where("kinds = 1 and weight > 1").select("anchor", "hash1", "hash2", F.array(F.lit(0)).alias("starts"), F.array(F.col("windows") + length - 1).alias("ends"))
     bytes_ = found.where("bytes is not null").select("anchor", "hash1", "hash2", "bytes")
     several = bytes_.join(kinds.where("kinds > 1").hint("merge"), ["anchor", "hash1", "hash2"])
-    sorted_ = shared.written(grouped_spans(several.where(F.col("kinds") <= hot), length), folder, "sorted")
+    sorted_ = shared.written(grouped_spans(several.where(F.col("kinds") <= hot), length, gram), folder, "sorted")
     single = shared.written(single_windows(several.where(F.col("kinds") > hot).dropDuplicates(["anchor", "hash1", "hash2"]), length), folder, "single")
     again = single.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
     lone = single.join(again.hint("merge"), "window").select("anchor", "hash1", "hash2", F.array(F.col("at")).alias("starts"), F.array(F.col("at") + length).alias("ends"))
     spans = alone.unionByName(sorted_).unionByName(lone)
-    spans = found.drop("bytes", "windows").join(spans.hint("merge"), ["anchor", "hash1", "hash2"])
+    spans = found.drop("bytes", "windows", "ahead").join(spans.hint("merge"), ["anchor", "hash1", "hash2"])
     spans = spans.select("doc_id", F.explode(F.arrays_zip((F.transform("starts", lambda x: x + F.col("first"))).alias("start"), (F.transform("ends", lambda x: x + F.col("first"))).alias("end"))).alias("s"))
     spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start"), F.col("s.end")))).alias("spans"))
     return survey.select("doc_id", "n_bytes", "digest"), shared.written(spans, folder, "spans")
