@@ -31,6 +31,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", hexed(F.col("digest")).alias("kept_sha256"))
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target texts are those labelled as of quality; as large a part is kept as of the labelled ones is."""
+    from .resampling import resampled
+
+    labels = read(spark, sf_dir, "labels").where(~held_out() & F.col("quality").isNotNull())
+    share = labels.agg(F.avg(F.col("quality").cast("double"))).head()[0]
+    return resampled(read(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), share or 0.0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import scores, train
 
@@ -46,12 +55,27 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import captures, header, resolved
+
+    found = resolved(captures(read(spark, sf_dir, "pages")))
+    names = ("etag", "last-modified", "cache-control", "content-type", "content-length")
+    shown = [header(n).alias(n.replace("-", "_")) for n in names]
+    return found.select(((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("response_id") / 2).cast("long").alias("response_page_id"), "verdict", "digest", *shown)
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import hexed
     from .suffixarray import trimmed
@@ -76,7 +100,61 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_best_fit_packing, op6_embedding_near_dedup, op8_suffix_array_dedup, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_importance_resampling, op3_toxicity, op4_best_fit_packing, op5_warc_revisits, op6_embedding_near_dedup, op7_sentencepiece, op8_suffix_array_dedup, op9_exact_dedup, op10_simhash_near_dedup)
 }
 
-SQL: dict[str, str] = {}
+
+
+def canonical_sql(url: str) -> str:
+    """The canonical URL in DuckDB SQL."""
+    bare = f"regexp_replace(trim({url}), '#.*$', '')"
+    parts = "'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)(.*)$'"
+    scheme = f"lower(regexp_extract({bare}, {parts}, 1))"
+    host = f"regexp_replace(lower(regexp_extract({bare}, {parts}, 2)), '^[^@]*@', '')"
+    host = f"CASE WHEN {scheme} = 'http' THEN regexp_replace({host}, ':80$', '') WHEN {scheme} = 'https' THEN regexp_replace({host}, ':443$', '') ELSE {host} END"
+    path = f"regexp_replace(regexp_extract({bare}, {parts}, 3), '/+$', '')"
+    query = f"regexp_replace(regexp_extract({bare}, {parts}, 4), '([?&])(utm_[a-z]+|gclid|fbclid|ref)=[^&]*', '\\1', 'g')"
+    query = f"regexp_replace(regexp_replace(regexp_replace({query}, '&&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+$', '')"
+    return f"CASE WHEN regexp_matches({bare}, {parts}) AND ({host}) <> '' THEN {scheme} || '://' || ({host}) || {path} || {query} END"
+
+
+SQL: dict[str, str] = {
+    "op5_warc_revisits": f"""
+        WITH page AS (
+            SELECT page_id, url, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size,
+                '2023-11-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS day,
+                CASE page_id % 3 WHEN 0 THEN url || '#again' WHEN 1 THEN regexp_replace(url, '^http://([^/]*)', 'HTTP://\\1:80') ELSE url END AS spelled
+            FROM pages),
+        response AS (SELECT *, {canonical_sql("url")} AS canon, page_id * 60 AS at, '"' || substr(digest, 1, 16) || '"' AS tag FROM page),
+        revisit AS (SELECT page_id, {canonical_sql("spelled")} AS canon, page_id * 60 + 86400 * (1 + page_id % 5) AS at, day,
+                CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"changed"' ELSE 'W/"' || substr(digest, 1, 16) || '"' END AS tag,
+                page_id % 11 = 0 AS undated FROM page),
+        met AS (
+            SELECT v.page_id, v.canon AS canonical_url, r.page_id AS response_page_id, r.digest, r.size, r.day AS r_day, v.day, v.tag, r.tag AS r_tag, v.undated,
+                CASE WHEN r.page_id IS NULL THEN 'no_earlier_response'
+                    WHEN v.tag IS NOT NULL THEN CASE WHEN regexp_replace(v.tag, '^W/', '') = r.tag THEN 'resolved' ELSE 'validators_differ' END
+                    WHEN v.day = r.day THEN 'resolved' ELSE 'validators_differ' END AS verdict
+            FROM revisit v ASOF LEFT JOIN response r ON v.canon = r.canon AND v.at > r.at)
+        SELECT page_id, canonical_url, response_page_id, verdict,
+            CASE WHEN verdict = 'resolved' THEN digest END AS digest,
+            CASE WHEN verdict = 'resolved' THEN coalesce(tag, r_tag) END AS etag,
+            CASE WHEN verdict = 'resolved' THEN CASE WHEN undated THEN day ELSE r_day END END AS last_modified,
+            CASE WHEN verdict = 'resolved' THEN CASE WHEN undated THEN 'max-age=60' ELSE 'max-age=900' END END AS cache_control,
+            CASE WHEN verdict = 'resolved' THEN 'text/html' END AS content_type,
+            CASE WHEN verdict = 'resolved' THEN size::VARCHAR END AS content_length
+        FROM met""",
+    "op9_exact_dedup": """
+        WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+        best AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM normal GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM normal JOIN best USING (t)""",
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE fine AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.9),
+        reach AS (SELECT a AS vec_id, a AS other FROM link UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON r.other = l.a),
+        part AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+        degree AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN part USING (vec_id) LEFT JOIN degree USING (vec_id)""",
+}

@@ -89,3 +89,16 @@ def anchored(hashes: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     first = start[cuts]
     return np.searchsorted(offsets, first, side="right") - 1, first, np.diff(np.append(cuts, len(start))), place[cuts]
+
+
+def class_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs of bytes of one kind other than 0, and how many each text has."""
+    kinds = kind[data]
+    begins = np.ones(len(data), bool)
+    begins[1:] = kinds[1:] != kinds[:-1]
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    cuts = np.flatnonzero(begins)
+    ends = np.append(cuts[1:], len(data))
+    solid = kinds[cuts] > 0
+    starts, ends = cuts[solid], ends[solid]
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
