@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,12 @@ def drop(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget finished jobs, so that Spark deletes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` as long and ``text`` as bytes, null texts empty; no other column is carried."""
     return docs.select(

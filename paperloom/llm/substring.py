@@ -7,9 +7,9 @@ Second level: around the anchors that are left, windows are extended to twice th
 equal ones the smallest doc_id is found.  Doubling ends there: each longer repeat is covered
 by its windows of this length, so further levels would remove the same words.
 
-Equal surroundings of an anchor are one row with their smallest doc_id, so a passage in a
-third of all documents costs one row.  An anchor with very many different surroundings is
-dealt out by window.
+Whole copies of an earlier document are told by the digest of their words and go no further.
+An anchor with more rows than a task should hold is resolved by sums and joins in which equal
+surroundings are one row, and each of their windows another.
 
 Cases: a null text has no words; a window counts where it also starts in a document with a
 smaller doc_id, so the first document keeps it, and repeats within one document stay; texts
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import shared, wordhash
 
 WORDS = 13
-#: Different surroundings of an anchor that one task compares; more are dealt out by window.
+#: Rows of an anchor that one task compares; anchors with more are dealt out by window.
 HOT_ANCHOR = 20_000
 SOLID = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 
@@ -60,120 +60,146 @@ def surveyed(docs: DataFrame, length: int, half: int) -> DataFrame:
     return shared.mapped(shared.texts(docs), run, "doc_id long, n_words long, digest binary, anchor array<long>, first array<int>, windows array<int>")
 
 
+FOUND = "anchor long, hash long, doc_id long, first int, windows int, bytes binary"
+
+
 def surroundings(held: DataFrame, length: int) -> DataFrame:
-    """The words around each anchor that is left; a task sends equal ones once a window of some."""
-    schema = "anchor long, hash1 long, hash2 long, doc_id long, first int, windows int, bytes binary"
+    """The words around each anchor that is left; a task sends equal ones once a window of some.
+
+    ``hash`` tells an anchor's surroundings apart; with the anchor's it has 128 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in shared.chunks(batches, most=1 << 20):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for doc, text, anchor, first, windows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "anchor", "first", "windows")), strict=True):
                 words = text.split()
                 for a, f, w in zip(anchor, first, windows, strict=True):
                     part = b" ".join(words[f : f + w + length - 1])
-                    digest = xxhash.xxh3_128_digest(part)
-                    new = digest not in seen
+                    key = (a, xxhash.xxh3_64_intdigest(part) - (1 << 63))
+                    new = key not in seen
                     if new:
-                        seen.add(digest)
-                    for column, value in zip(out, (a, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, f, w, part if new else None), strict=True):
+                        seen.add(key)
+                    for column, value in zip(out, (*key, doc, f, w, part if new else None), strict=True):
                         column.append(value)
             if len(seen) > 200_000:
                 seen.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "hash1", "hash2", "doc_id", "first", "windows", "bytes"])
+            kinds = (*[pa.int64()] * 3, *[pa.int32()] * 2, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "hash", "doc_id", "first", "windows", "bytes"])
 
-    return shared.mapped(held, run, schema)
+    return shared.mapped(held, run, FOUND)
 
 
-LEAST = "anchor long, hash1 long, hash2 long, least array<long>"
+def resolved(found: DataFrame, length: int) -> DataFrame:
+    """``doc_id, starts``: windows that start in a document with a smaller doc_id, a row an anchor.
 
-
-def compared(several: DataFrame, length: int) -> DataFrame:
-    """The smallest doc_id of each window, among the different surroundings of an anchor."""
+    An anchor's rows meet in one task; the caller sends those with few rows here alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[tuple, list[bytes]]] = []
-        low: dict[bytes, int] = {}
-        out: list[tuple[tuple, list[int]]] = []
+        last, kinds, rows = None, {}, []
+        docs: list[int] = []
+        starts: list[list[int]] = []
 
         def close() -> None:
-            out.extend((key, [low[w] for w in windows]) for key, windows in held)
-            held.clear()
-            low.clear()
-
-        def batch_of() -> pa.RecordBatch:
-            columns = [pa.array([k[i] for k, _ in out], pa.int64()) for i in range(3)] + [pa.array([x for _, x in out], pa.list_(pa.int64()))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["anchor", "hash1", "hash2", "least"])
-
-        last = None
-        for batch in shared.chunks(batches, "bytes"):
-            for anchor, one, two, n, doc, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash1", "hash2", "windows", "doc_id", "bytes")), strict=True):
-                key = (anchor, one, two)
-                if key == last:
-                    continue  # another task sent the same words
-                if last and anchor != last[0]:
-                    close()
-                    if len(out) > 5000:
-                        yield batch_of()
-                last = key
-                words = part.split(b" ")
-                windows = [b" ".join(words[i : i + length]) for i in range(n)]
+            low: dict[bytes, int] = {}
+            for windows, least in kinds.values():
                 for w in windows:
-                    if low.setdefault(w, doc) > doc:
-                        low[w] = doc
-                held.append((key, windows))
+                    if low.setdefault(w, least[0]) > least[0]:
+                        low[w] = least[0]
+            lows = {h: [low[w] for w in windows] for h, (windows, _) in kinds.items()}
+            for h, doc, first in rows:
+                gone = [first + i for i, x in enumerate(lows[h]) if x < doc]
+                if gone:
+                    docs.append(doc)
+                    starts.append(gone)
+            kinds.clear()
+            rows.clear()
+
+        for batch in batches:
+            for anchor, h, doc, first, n, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "doc_id", "first", "windows", "bytes")), strict=True):
+                if anchor != last:
+                    close()
+                    last = anchor
+                rows.append((h, doc, first))
+                kind = kinds.get(h)
+                if kind is None:  # rows with words come first among equals
+                    words = part.split(b" ")
+                    kinds[h] = ([b" ".join(words[i : i + length]) for i in range(n)], [doc])
+                elif doc < kind[1][0]:
+                    kind[1][0] = doc
+            if len(docs) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], ["doc_id", "starts"])
+                docs, starts = [], []
         close()
-        if out:
-            yield batch_of()
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], ["doc_id", "starts"])
 
-    dealt = several.select("anchor", "hash1", "hash2", "windows", "doc_id", "bytes").repartition("anchor").sortWithinPartitions("anchor", "hash1", "hash2")
-    return shared.mapped(dealt, run, LEAST)
+    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "hash", F.col("bytes").isNull())
+    return shared.mapped(dealt, run, "doc_id long, starts array<int>")
 
 
 def single_windows(hot: DataFrame, length: int) -> DataFrame:
-    """Each window of an anchor with very many surroundings by itself."""
+    """Each window of an anchor with very many rows by itself, once for equal surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.chunks(batches, "bytes", most=1 << 18):
             rows = []
-            for a, o, t, n, d, p in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash1", "hash2", "windows", "doc_id", "bytes")), strict=True):
+            for a, h, n, d, p in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "windows", "doc_id", "bytes")), strict=True):
                 words = p.split(b" ")
-                rows += [(a, o, t, d, i, xxhash.xxh3_128_digest(b" ".join(words[i : i + length]))) for i in range(n)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["anchor", "hash1", "hash2", "doc_id", "at", "window"])
+                rows += [(a, h, d, i, xxhash.xxh3_128_digest(b" ".join(words[i : i + length]))) for i in range(n)]
+            kinds = (*[pa.int64()] * 3, pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["anchor", "hash", "doc_id", "at", "window"])
 
-    return shared.mapped(hot.select("anchor", "hash1", "hash2", "windows", "doc_id", "bytes"), run, "anchor long, hash1 long, hash2 long, doc_id long, at int, window binary")
+    return shared.mapped(hot.select("anchor", "hash", "windows", "doc_id", "bytes"), run, "anchor long, hash long, doc_id long, at int, window binary")
 
 
-def repeats(docs: DataFrame, folder: str, length: int, half: int, hot: int = HOT_ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """All documents' counts and digests, and the starts of repeated windows of those that have any."""
+def resolved_hot(found: DataFrame, folder: str, length: int) -> DataFrame:
+    """As ``resolved`` for anchors of any number of rows: sums and joins that need no group whole."""
+    kinds = found.groupBy("anchor", "hash").agg(F.min("doc_id").alias("doc_id"))
+    words = found.where("bytes is not null").select("anchor", "hash", "windows", "bytes").dropDuplicates(["anchor", "hash"])
+    single = shared.written(single_windows(words.join(kinds.hint("merge"), ["anchor", "hash"]), length), folder, "single")
+    lows = single.groupBy("window").agg(F.min("doc_id").alias("low"))
+    lone = single.join(lows.hint("merge"), "window").groupBy("anchor", "hash").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("lows"))
+    rows = found.select("anchor", "hash", "doc_id", "first").join(lone.hint("merge"), ["anchor", "hash"])
+    starts = F.filter(F.transform("lows", lambda x: F.when(x["low"] < F.col("doc_id"), F.col("first") + x["at"])), lambda x: x.isNotNull())
+    return rows.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0)
+
+
+def repeats(docs: DataFrame, folder: str, length: int, half: int, hot: int = HOT_ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents' counts and digests; copies of documents; starts of the others' repeated windows.
+
+    A document with all the words of an earlier one, a window at least, loses them all; only the
+    first of such goes on.
+    """
+    spark = docs.sparkSession
     survey = shared.written(surveyed(docs, length, half), folder, "survey")
-    spots = survey.select("doc_id", F.explode(F.arrays_zip("anchor", "first", "windows")).alias("s")).select("doc_id", "s.*")
-    common = shared.written(spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), folder, "common")
+    counts = shared.written(survey.select("doc_id", "n_words", "digest"), folder, "counts")
+    firsts = counts.where(F.col("n_words") >= length).groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    copies = shared.written(counts.join(firsts.hint("merge"), "digest").where("doc_id > low").select("doc_id"), folder, "copies")
+    spots = shared.without(survey.drop("n_words", "digest"), copies, "doc_id")
+    spots = spots.select("doc_id", F.explode(F.arrays_zip("anchor", "first", "windows")).alias("s")).select("doc_id", "s.*")
+    common = shared.written(spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), folder, "common")
+    shared.release(spark)
     spots = shared.perhaps(spots, common, "anchor").join(common.hint("merge"), "anchor")
-    by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("spots"))
-    by_doc = shared.written(by_doc.select("doc_id", *[F.col(f"spots.{c}").alias(c) for c in ("anchor", "first", "windows")]), folder, "spots")
-    some = shared.perhaps(shared.texts(docs), by_doc.select("doc_id"), "doc_id")
-    found = shared.written(surroundings(some.join(by_doc.hint("merge"), "doc_id"), length), folder, "surroundings")
-    kinds = found.groupBy("anchor", "hash1", "hash2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
-    kinds = shared.written(kinds, folder, "kinds")
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("doc_id").alias("low"), F.max("last").alias("high")).where("low < high")
-    kinds = shared.written(kinds.join(sizes.hint("merge"), "anchor"), folder, "sized")
-    alone = kinds.where("kinds = 1").select("anchor", "hash1", "hash2", F.array_repeat("doc_id", F.col("windows")).alias("least"))
-    words = found.where("bytes is not null").select("anchor", "hash1", "hash2", "bytes")
-    several = words.join(kinds.where("kinds > 1").hint("merge"), ["anchor", "hash1", "hash2"])
-    least = shared.written(compared(several.where(F.col("kinds") <= hot), length), folder, "least")
-    single = shared.written(single_windows(several.where(F.col("kinds") > hot).dropDuplicates(["anchor", "hash1", "hash2"]), length), folder, "single")
-    lows = single.groupBy("window").agg(F.min("doc_id").alias("low"))
-    lone = single.join(lows.hint("merge"), "window").groupBy("anchor", "hash1", "hash2").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("lows"))
-    least = alone.unionByName(least).unionByName(lone.select("anchor", "hash1", "hash2", F.col("lows.low").alias("least")))
-    spans = found.select("anchor", "hash1", "hash2", "doc_id", "first").join(least.hint("merge"), ["anchor", "hash1", "hash2"])
-    starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("first") + i)), lambda x: x.isNotNull())
-    spans = spans.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0)
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
-    return survey.select("doc_id", "n_words", "digest"), shared.written(spans, folder, "spans")
+
+    def found(some: DataFrame) -> DataFrame:
+        by_doc = some.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("spots"))
+        by_doc = by_doc.select("doc_id", *[F.col(f"spots.{c}").alias(c) for c in ("anchor", "first", "windows")])
+        texts = shared.perhaps(shared.texts(docs), by_doc.select("doc_id"), "doc_id")
+        return surroundings(texts.join(by_doc.hint("merge"), "doc_id"), length)
+
+    spots = shared.written(spots, folder, "spots")
+    shared.drop(spark, folder, "survey")
+    shared.release(spark)
+    starts = resolved(found(spots.where(F.col("n") <= hot)), length)
+    if not common.where(F.col("n") > hot).isEmpty():
+        starts = starts.unionByName(resolved_hot(shared.written(found(spots.where(F.col("n") > hot)), folder, "hot"), folder, length))
+    starts = starts.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    starts = shared.written(starts, folder, "starts")
+    shared.drop(spark, folder, "spots")
+    shared.release(spark)
+    return counts, copies, starts
 
 
 def removed(n: int, starts: list[int], length: int) -> np.ndarray:
@@ -188,7 +214,7 @@ def trimmed(docs: DataFrame, length: int = WORDS, with_text: bool = False) -> Da
     """``doc_id, n_words, n_removed, digest`` of every document; digest: of its kept words."""
     docs = shared.one_each(docs)
     folder = shared.work_folder(docs.sparkSession)
-    survey, spans = repeats(docs, folder, length, (length + 1) // 2)
+    counts, copies, spans = repeats(docs, folder, length, (length + 1) // 2)
     texts = shared.perhaps(shared.texts(docs), spans.select("doc_id"), "doc_id").join(spans.hint("merge"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,5 +230,8 @@ def trimmed(docs: DataFrame, length: int = WORDS, with_text: bool = False) -> Da
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_removed", "now", "kept"])
 
     changed = shared.mapped(texts, run, "doc_id long, n_removed long, now binary, kept binary")
-    found = survey.join(changed.hint("merge"), "doc_id", "left")
-    return found.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("now", "digest").alias("digest"), *["kept"] * with_text)
+    gone = copies.select("doc_id", F.lit(None).cast("long").alias("n_removed"), F.unhex(F.sha2(F.lit(b""), 256)).alias("now"), F.lit(b"").alias("kept"), F.lit(True).alias("copy"))
+    changed = changed.withColumn("copy", F.lit(False)).unionByName(gone)
+    found = counts.join(changed.hint("merge"), "doc_id", "left")
+    lost = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long")))
+    return found.select("doc_id", "n_words", lost.alias("n_removed"), F.coalesce("now", "digest").alias("digest"), *["kept"] * with_text)
