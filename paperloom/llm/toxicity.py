@@ -63,8 +63,8 @@ def train(
     labels: DataFrame,
     label: str = "toxic",
     learnable: Column | None = None,
-    positives: int = 4000,
-    negatives: int = 8000,
+    positives: int = 3000,
+    negatives: int = 5000,
     bits: int = 20,
     epochs: int = 8,
     batch: int = 32,
@@ -88,14 +88,15 @@ def train(
     # The sample is bounded by its two parameters, so it may be broadcast and learnt in one place.
     few = shared.texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "y")
     table = shared.mapped(few, run, "doc_id long, y int, features array<int>").toArrow()
-    table = table.sort_by("doc_id").combine_chunks()
-    if not len(table):
-        return Model(bits, np.zeros(0, np.int64), np.zeros(0), 0.0)
-    lists = table.column("features").combine_chunks()
-    ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(np.int64)
     y = table.column("y").to_numpy().astype(np.float64)
-    names, flat = np.unique(flat, return_inverse=True)
-    z, n = np.zeros(len(names)), np.zeros(len(names))
+    rank = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    size = pc.list_value_length(table.column("features")).to_numpy()
+    flat = table.column("features").combine_chunks().flatten().to_numpy()
+    del table
+    if not len(y):
+        return Model(bits, np.zeros(0, np.int64), np.zeros(0), 0.0)
+    first = np.cumsum(size, dtype=np.int64) - size
+    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias, bias_n = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
@@ -104,12 +105,12 @@ def train(
 
     random = np.random.default_rng(7)
     for _ in range(epochs):
-        order = random.permutation(len(y))
+        order = rank[random.permutation(len(y))]
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            size = ends[rows + 1] - ends[rows]
-            place = np.repeat(np.arange(len(rows)), size)
-            here = flat[np.arange(size.sum()) + np.repeat(ends[rows] - np.cumsum(size) + size, size)]
+            held = size[rows]
+            place = np.repeat(np.arange(len(rows)), held)
+            here = flat[np.arange(held.sum()) + np.repeat(first[rows] - np.cumsum(held) + held, held)]
             used, where = np.unique(here, return_inverse=True)
             w = weights(used)
             score = bias + np.bincount(place, w[where], len(rows))
@@ -122,7 +123,7 @@ def train(
             bias -= alpha / (beta + np.sqrt(bias_n)) * float(error.sum())
     w = weights(slice(None))
     kept = np.flatnonzero(w)
-    return Model(bits, names[kept], w[kept], bias)
+    return Model(bits, kept, w[kept], bias)
 
 
 def scored_chunk(part: pa.RecordBatch, column: str, model: Model, table: np.ndarray) -> np.ndarray:
