@@ -1,7 +1,8 @@
 """Quality by importance resampling: two generative models of hashed n-grams, and Gumbel top-k.
 
 The target model counts hashed words and word pairs of the target texts, the raw model those
-of all texts; both counts cover every document and are smoothed by one.  A document's weight
+of all texts; both counts cover every document.  The raw model is smoothed by one, the target
+model by the raw one.  A document's weight
 is the log ratio of its likelihoods.  Adding Gumbel noise and taking the k largest samples k
 documents without replacement in proportion to their weights.  The k-th largest key is found
 by radix selection, 16 bits a pass, so nothing is sorted in one place.
@@ -9,7 +10,7 @@ by radix selection, 16 bits a pass, so nothing is sorted in one place.
 Cases: a null or empty text has weight 0 and its noise alone; rows that repeat a doc_id get the
 same noise and are all rows of their own; ties at the k-th key go to the smallest doc_id and
 then to whichever row; k of 0 keeps none, and k beyond the rows keeps all; an empty table gives
-an empty result; without target texts every weight is of smoothing alone; columns besides
+an empty result; without target texts every weight is 0; columns besides
 doc_id and text are ignored.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from . import shared, wordhash
 
 BITS = 16
+#: Raw tokens that the target model starts from.
+PRIOR = 2000.0
 #: 1: letters, digits and bytes of other alphabets; 2: signs; 0: white space.
 KIND = np.array([0 if b <= 32 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 LOWERED = wordhash.BYTES[np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])]
@@ -57,8 +60,14 @@ def bucket_counts(docs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Log of target over raw probability of each bucket.
+
+    The target model starts from the raw one, as if ``prior`` tokens of it had been seen, so few
+    target texts give ratios near one and not near the share of empty buckets.
+    """
+    base = (raw + 1) / (raw.sum() + len(raw))
+    return np.log((target + prior * base) / (target.sum() + prior)) - np.log(base)
 
 
 def ordered(values: np.ndarray) -> np.ndarray:
