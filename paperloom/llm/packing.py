@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,11 @@ class WordIds:
         self.start = np.zeros(1, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in found)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in found])])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum())])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each text has."""
@@ -82,12 +84,26 @@ class WordIds:
         return ids, np.diff(before)
 
 
+#: ASCII letters, other signs of ASCII, and bytes in lower case.
+LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+SIGN = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes without ASCII white space, and where words start and how long they are."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    solid = ~space
+    """The bytes without ASCII white space, and where words start and how long they are.
+
+    The tokenizer lower-cases, and parts a letter from a sign behind it, and a sign but an
+    apostrophe from a letter behind it; so do words here, which are then fewer.  Where the
+    opening of a special token occurs, words are left as they are.
+    """
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begins = solid.copy()
-    begins[1:] &= space[:-1]
+    begins[1:] &= ~solid[:-1]
+    if b"<|" not in data.tobytes():
+        letter, sign = LETTER[data], SIGN[data]
+        begins[1:] |= (letter[:-1] & sign[1:]) | (sign[:-1] & (data[:-1] != 39) & letter[1:])
+        data = LOWER[data]
     edge = offsets[:-1][offsets[:-1] < len(data)]
     begins[edge] = solid[edge]
     starts = np.flatnonzero(begins)
