@@ -200,3 +200,15 @@ def parsed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey") % 5
     unit = F.when(p == 0, " KiB").when(p == 1, " MB").when(p == 2, "").when(p == 3, ".5 KiB").otherwise(".5")
     return read(spark, sf_dir, "part").select("p_partkey", identity.parsed_bytes(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
+
+
+@query(r"""WITH p AS (SELECT d.doc_id, trim(regexp_replace(coalesce(d.text, ''), '\s+', ' ', 'g')) AS native, CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE trim(regexp_replace(coalesce(d.text, '') || CASE WHEN d.doc_id % 3 = 0 THEN ' more' ELSE '' END, '\s+', ' ', 'g')) END AS ocr FROM documents d),
+    r AS (SELECT *, CASE WHEN native = '' AND ocr = '' THEN 'nothing_found' WHEN ocr = '' OR native = '' THEN 'only_hypothesis' WHEN native = ocr THEN 'agreement' WHEN length(regexp_replace(native, '\s', '', 'g')) >= 80 THEN 'native_preferred' WHEN contains(ocr, native) THEN 'ocr_covers_native' ELSE 'native_preferred' END AS reason FROM p)
+    SELECT doc_id, CASE WHEN reason = 'nothing_found' THEN NULL WHEN native = '' OR reason = 'ocr_covers_native' THEN 'ocr' ELSE 'native' END AS selected_stage, reason, native <> '' AND ocr <> '' AND native <> ocr AS disagree FROM r""")
+def reconcile_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native text against a second reading, which lacks every fourth page and adds to every third."""
+    from ..operators import reconcile
+
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    again = d.where("doc_id % 4 <> 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " more").otherwise("")))
+    return reconcile.selected(d, again).drop("text")
