@@ -119,6 +119,14 @@ def canonical_sql(url: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(a[i:i + 12], ' ')) AS s FROM (SELECT doc_id, a, unnest(generate_series(1, len(a) - 12)) AS i FROM w WHERE len(a) >= 13)),
+        first AS (SELECT s, min(doc_id) AS low FROM win GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i FROM win JOIN first USING (s) WHERE low < doc_id), range(13) AS r(k)),
+        word AS (SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) AS j FROM w),
+        kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY j) AS s, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+        SELECT doc_id, len(a) AS n_words, len(a) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
     "op5_warc_revisits": f"""
         WITH page AS (
             SELECT page_id, url, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size,

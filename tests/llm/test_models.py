@@ -174,7 +174,7 @@ def test_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     frame = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     columns = ", ".join(frame.columns)
