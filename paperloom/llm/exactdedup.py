@@ -29,7 +29,7 @@ from . import shared
 #: Entries of a bucket before it splits.
 BUCKET_ENTRIES = 50_000
 #: Bytes of texts that a task holds to collapse copies it reads itself.
-WINDOW_BYTES = 32 << 20
+WINDOW_BYTES = 16 << 20
 #: Bits of the key that one directory pass looks at.
 PASS_BITS = 10
 SPACE = frozenset(b" \t\n\v\f\r")

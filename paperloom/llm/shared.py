@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once by a Python worker; bounds its memory whatever the batch size.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 #: Bits of a table that tells which keys may be wanted, as a power of two: 4 MB of rows.
