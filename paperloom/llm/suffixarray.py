@@ -15,9 +15,8 @@ one shares with it; surroundings that occur twice as a whole are repeats as a wh
 A group with very many different surroundings is dealt out by window instead.
 
 Cases: a null text counts as empty; matches never cross documents; texts shorter than
-``length`` lose nothing; overlaps count, and repeats inside one document do; repeated rows
-with one doc_id are taken for one document each only if doc_id is unique, so callers give unique
-ids; an empty table gives an empty result; columns besides doc_id and text are ignored.
+``length`` lose nothing; overlaps count, and repeats inside one document do; rows that repeat a
+doc_id count as one document, that with the smallest text; an empty table gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
