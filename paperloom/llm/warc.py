@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Headers that a 304 never changes: they describe the body stored or the hop.
 FIXED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 #: Query parameters that track a visit.
@@ -65,6 +67,8 @@ def resolved(records: DataFrame, span_seconds: int = 86_400) -> DataFrame:
     full = (F.col("status") != 304) & F.col("canonical_url").isNotNull() & F.col("date").isNotNull()
     stored = F.when(full, F.struct("date", "record_id", "headers", "digest"))
     rows = rows.withColumn("stored", stored).withColumn("span", F.floor(F.unix_micros(F.col("date").cast("timestamp")) / (span_seconds * 1_000_000)))
+    # Bodies are behind; what is left is read twice.
+    rows = shared.written(rows, shared.work_folder(records.sparkSession), "records")
     # The last response before each span that has records of a URL.
     spans = rows.groupBy("canonical_url", "span").agg(F.max_by("stored", F.when(full, F.struct("date", "record_id"))).alias("held"))
     before = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,12 +103,12 @@ def captures(pages: DataFrame) -> DataFrame:
     tag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
     day = F.concat(F.lit("2023-11-"), F.lpad((F.pmod("page_id", F.lit(28)) + 1).cast("string"), 2, "0"))
     headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("size").cast("string"), F.lit("ETag"), tag, F.lit("Last-Modified"), day, F.lit("Cache-Control"), F.lit("max-age=60"))
-    responses = page.select((F.col("page_id") * 2).alias("record_id"), "url", at.alias("date"), F.lit(200).alias("status"), headers.alias("headers"), "digest")
+    response = F.struct((F.col("page_id") * 2).alias("record_id"), F.col("url"), at.alias("date"), F.lit(200).alias("status"), headers.alias("headers"), F.col("digest"))
     changed = F.col("page_id") % 7 == 0
     shown = F.when(changed, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
     undated = F.col("page_id") % 11 == 0
     news = F.when(undated, F.create_map(F.lit("Last-Modified"), day, F.lit("Content-Length"), F.lit("0"))).otherwise(F.create_map(F.lit("ETag"), shown, F.lit("Cache-Control"), F.lit("max-age=900"), F.lit("Content-Length"), F.lit("0")))
     spelled = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("#again"))).when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^http://([^/]*)", "HTTP://$1:80")).otherwise(F.col("url"))
     later = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60 + 86_400 * (1 + F.col("page_id") % 5))
-    revisits = page.select((F.col("page_id") * 2 + 1).alias("record_id"), spelled.alias("url"), later.alias("date"), F.lit(304).alias("status"), news.alias("headers"), F.lit(None).cast("string").alias("digest"))
-    return responses.unionByName(revisits)
+    revisit = F.struct((F.col("page_id") * 2 + 1).alias("record_id"), spelled.alias("url"), later.alias("date"), F.lit(304).alias("status"), news.alias("headers"), F.lit(None).cast("string").alias("digest"))
+    return page.select(F.explode(F.array(response, revisit)).alias("r")).select("r.*")
