@@ -31,7 +31,7 @@ from . import shared
 
 MARK = "▁"
 #: Different stretches that a worker remembers.
-STRETCHES_HELD = 300_000
+STRETCHES_HELD = 250_000
 PAIRS_HELD = 1_000_000
 
 
@@ -94,10 +94,23 @@ class Transducer:
         # No arc crosses a line feed either, if no piece has one: it is made of bytes.
         line = "" if any("\n" in t for t in self.ids) else "\n"
         self.cut = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + "|\n" * bool(line))
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[0] = i
+        # Characters that stand side by side in a piece; no arc crosses two that never do.
+        self.adjacent = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        # No arc crosses a line feed either, if no piece has one: it is made of bytes.
+        line = "" if any("\n" in t for t in self.ids) else "\n"
+        self.cut = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + "|\n" * bool(line))
         # The trie, as the set of all beginnings of pieces.
         self.begins = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.after: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a few characters: the best-scored pair first, then the leftmost."""
@@ -110,13 +123,18 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def neighbours(self, a: str, b: str) -> bool:
-        """Whether the grammar has an arc from ``a`` to ``b``."""
-        found = self.pair.get((a, b))
-        if found is None:
-            if len(self.pair) > PAIRS_HELD:
-                self.pair.clear()
-            found = self.pair[a, b] = self.merged(a + b) == [a, b]
+    def spelled(self, state: int) -> str:
+        """The characters of a piece, or of a state below -1 the one that no piece has alone."""
+        return self.text[state] if state >= 0 else chr(-2 - state)
+
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether the grammar has an arc from piece ``a`` to piece ``b``."""
+        if self.pairs > PAIRS_HELD:
+            self.after.clear()
+            self.pairs = 0
+        left, right = self.spelled(a), self.spelled(b)
+        found = self.after.setdefault(a, {})[b] = self.merged(left + right) == [left, right]
+        self.pairs += 1
         return found
 
     def shortest(self, text: str) -> tuple[int, ...]:
@@ -124,36 +142,62 @@ class Transducer:
 
         A state is a place and the piece that ended there; weights add up and the least stays.
         """
-        whole = text in self.score and self.merged(text) == [text]
-        if whole:
-            return (self.ids[text],)
-        size, score, begins, pair = len(text), self.score, self.begins, self.pair
-        states: list[dict[str, tuple[int, int, str]]] = [{} for _ in range(size + 1)]
-        states[0][""] = (0, 0, "")
-        for at, here in enumerate(states[:size]):
+        size, trie, after = len(text), self.trie, self.after
+        states: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(size + 1)]
+        states[0][-1] = (0, 0, -1)
+        for at in range(size):
+            here = states[at]
             if not here:
                 continue
+            node = trie.get(text[at])
+            arcs = [] if node is not None and 0 in node else [(at + 1, -2 - ord(text[at]))]
             end = at + 1
-            arc = text[at]
-            first = True
-            while first or arc in begins:
-                if first or arc in score:
-                    for last, (cost, _, _) in here.items():
-                        if not last or (pair.get((last, arc)) if (last, arc) in pair else self.neighbours(last, arc)):
-                            held = states[end].get(arc)
-                            if held is None or cost + 1 < held[0]:
-                                states[end][arc] = (cost + 1, at, last)
-                first = False
-                end += 1
-                if end > size:
+            while node is not None:
+                if 0 in node:
+                    arcs.append((end, node[0]))
+                if end == size:
                     break
-                arc = text[at:end]
+                node = node.get(text[end])
+                end += 1
+            for last, (cost, _, _) in here.items():
+                allowed = after.get(last, {})
+                for end, arc in arcs:
+                    if last == -1 or (allowed[arc] if arc in allowed else self.neighbours(last, arc)):
+                        held = states[end].get(arc)
+                        if held is None or cost + 1 < held[0]:
+                            states[end][arc] = (cost + 1, at, last)
         last = min(states[-1], key=lambda p: states[-1][p][0])
-        path, at = [], len(text)
+        path, at = [], size
         while at:
             path.append(last)
             _, at, last = states[at][last]
-        return tuple(chain.from_iterable((self.ids[p],) if p in self.ids else self.fallback(p) for p in reversed(path)))
+        return tuple(chain.from_iterable((p,) if p >= 0 else self.fallback(chr(-2 - p)) for p in reversed(path)))
+
+    def composed(self, stretch: str) -> tuple[int, ...]:
+        """Ids of a stretch, by those of its parts that no arc joins.
+
+        What is found is kept in two generations, so that frequent stretches outlive the rest.
+        """
+        if len(self.known) > STRETCHES_HELD:
+            self.known, self.older = {}, self.known
+        known, older, adjacent = self.known, self.older, self.adjacent
+        if stretch in older:
+            known[stretch] = older[stretch]
+            return older[stretch]
+        cuts = [0, *[i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in adjacent], len(stretch)]
+        found: list[int] = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = stretch[a:b]
+            ids = known.get(part) or older.get(part)
+            if ids is None:
+                ids = self.shortest(part)
+            if part not in known:
+                if b - a <= 64:
+                    known[part] = ids
+            found += ids
+        if len(stretch) <= 64:
+            known[stretch] = tuple(found)
+        return tuple(found)
 
     def fallback(self, character: str) -> list[int]:
         if not self.byte:
@@ -168,15 +212,11 @@ class Transducer:
         return (MARK if self.dummy else "") + text.replace(" ", MARK)
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
+        ids: list[int] = []
         for stretch in self.cut.findall(self.normalised(text)):
-            found = known.get(stretch)
+            found = self.known.get(stretch)
             if found is None:
-                if len(known) > STRETCHES_HELD:
-                    known.clear()
-                found = self.shortest(stretch)
-                if len(stretch) <= 64:
-                    known[stretch] = found
+                found = self.composed(stretch)
             ids.extend(found)
         return ids
 
