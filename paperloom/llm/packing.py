@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, made = WordIds(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in shared.chunks(batches):
+        for batch in shared.chunks(batches, most=2 << 20):
             ids, counts = coder.encode(*shared.text_buffers(batch.column("text")))
             out = np.full(len(ids) + len(counts), end_id, "<u4")
             out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
