@@ -31,8 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; five words a shingle."""
-    found = simhash.near_duplicates(docs, words=5, bits=NEAR_BITS, width=8)
+    """One document of each group stays, that with the smallest doc_id; sets of five-word shingles link at Jaccard 0.8."""
+    found = simhash.near_duplicates(docs, words=5, bits=NEAR_BITS, width=8, likeness=0.8)
     return shared.without(docs, found.where("doc_id <> component_id"), "doc_id")
 
 

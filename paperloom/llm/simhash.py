@@ -2,7 +2,8 @@
 
 A fingerprint is cut into ``blocks`` pieces.  Two fingerprints within ``bits`` differing
 bits agree on at least ``blocks - bits`` pieces whole, so they meet under the key of one
-choice of that many pieces; candidates of a key are verified by Hamming distance.
+choice of that many pieces; candidates of a key are verified by Hamming distance.  Wide
+fingerprints only tell candidates; links are then told by the shingle sets themselves.
 
 Cases: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; fewer words than a shingle give one shingle of them all; equal
@@ -28,6 +29,9 @@ from .wordhash import mix
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
+#: Shingles of one candidate group that a task takes as a part; a tile holds two parts.
+SET_PART = 1 << 20
+
 #: A key with more distinct fingerprints than this is dealt out in tiles of pairs of parts.
 HOT_KEY = 2048
 
@@ -46,6 +50,15 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
     return [digest(line[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
+def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
+def digest_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes())
+
+
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint for each run of ``counts`` hashes: bits set in over half of a run."""
     out = np.zeros(len(counts), np.uint64)
@@ -65,28 +78,37 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, width: int = 1) -> DataFrame:
-    """``doc_id`` and the fingerprint: a signed long, or ``8 * width`` bytes for a wide one.
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """``doc_id`` and the fingerprint, a signed long."""
 
-    Further words of a wide fingerprint come of the same shingle hashes, mixed anew.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shared.chunks(batches):
+            found = [np.array(shingle_hashes(text, words, seed), np.uint64) for text in batch.column("text").to_pylist()]
+            prints = majority(np.concatenate(found), np.array([len(f) for f in found], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+
+    return shared.mapped(shared.texts(docs), run, "doc_id long, fp long")
+
+
+def wide_fingerprints(docs: DataFrame, words: int, seed: int, width: int) -> DataFrame:
+    """``doc_id``, a fingerprint of ``8 * width`` bytes, and the shingle set's digest.
+
+    Further words of a fingerprint come of the same shingle hashes, mixed anew.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.chunks(batches):
-            counts, hashes = [], []
-            for text in batch.column("text").to_pylist():
-                found = shingle_hashes(text, words, seed)
-                counts.append(len(found))
-                hashes.append(np.array(found, np.uint64))
-            hashed, runs = np.concatenate(hashes), np.array(counts, np.int64)
-            prints = [majority(hashed if not k else mix(hashed + np.uint64(k)), runs) for k in range(width)]
-            if width == 1:
-                column = pa.array(prints[0].view(np.int64))
-            else:
-                column = pa.array([row.tobytes() for row in np.stack(prints, axis=1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "fp"])
+            sets = [shingle_set(text, words, seed) for text in batch.column("text").to_pylist()]
+            hashed, counts = np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
+            prints = np.stack([majority(hashed if not k else mix(hashed + np.uint64(k)), counts) for k in range(width)], axis=1)
+            columns = [
+                batch.column("doc_id"),
+                pa.array([row.tobytes() for row in prints], pa.binary()),
+                pa.array(np.array([digest_of(s) for s in sets], np.uint64).view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest"])
 
-    return shared.mapped(shared.texts(docs), run, f"doc_id long, fp {'long' if width == 1 else 'binary'}")
+    return shared.mapped(shared.texts(docs), run, "doc_id long, fp binary, digest long")
 
 
 def block_keys(fp: Column, bits: int, blocks: int) -> Column:
@@ -168,20 +190,102 @@ def links(nodes: DataFrame, keys: Column, bits: int, hot: int = HOT_KEY) -> Data
     return shared.mapped(dealt.select("tile", "fp", "node").repartition("tile").sortWithinPartitions("tile"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 5, seed: int = 42, width: int = 1) -> DataFrame:
+def alike(hashes: np.ndarray, offsets: np.ndarray, likeness: float) -> np.ndarray:
+    """Each set's component under links of Jaccard ``likeness`` or more; ``hashes`` of a set are distinct and in order.
+
+    A set is compared with all sets outside its component.  Once those outside the largest
+    component have been, every pair is either compared or in one component.
+    """
+    sizes = np.diff(offsets)
+    label = np.arange(len(sizes))
+    open_ = np.ones(len(sizes), bool)
+    while True:
+        largest = np.bincount(label).argmax()
+        outside = np.flatnonzero(open_ & (label != largest))
+        if not len(outside):
+            return label
+        i = outside[0]
+        open_[i] = False
+        fits = np.minimum(sizes, sizes[i]) >= likeness * np.maximum(sizes, sizes[i]) - 1e-9
+        others = np.flatnonzero((label != label[i]) & fits & (sizes > 0))
+        if not len(others):
+            continue
+        own = hashes[offsets[i] : offsets[i + 1]]
+        taken = hashes if len(others) == len(sizes) else np.concatenate([hashes[offsets[j] : offsets[j + 1]] for j in others])
+        at = np.minimum(np.searchsorted(own, taken), len(own) - 1)
+        starts = np.cumsum(sizes[others]) - sizes[others]
+        common = np.add.reduceat((own[at] == taken).astype(np.int64), starts)
+        near = others[common >= likeness * (sizes[i] + sizes[others] - common) - 1e-9]
+        if len(near):
+            joined = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+
+
+def alike_links(members: DataFrame, likeness: float, part: int = SET_PART) -> DataFrame:
+    """Edges ``(a, b)`` that connect whatever ``(node, group, shingles)`` of one group are alike.
+
+    A group of more than ``part`` shingles is dealt out as ``links`` deals out a hot key.
+    """
+    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / (8 * part)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.least(p, F.col("own")) * F.col("parts") + F.greatest(p, F.col("own")))
+    dealt = members.join(sizes.where("parts > 0"), "group").withColumn("own", own).select("node", "shingles", "group", F.explode(each).alias("tile"))
+    dealt = dealt.select(F.xxhash64("group", "tile").alias("tile"), "node", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in shared.groups(batches, ["tile"], 1):
+            ids = table.column("node").to_numpy()
+            data, offsets = shared.text_buffers(table.column("shingles").combine_chunks())
+            starts = shared.runs(table.column("tile").to_numpy())
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                here = offsets[a : b + 1] // 8
+                label = alike(np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.uint64), here - here[0], likeness)
+                other = np.flatnonzero(label != np.arange(b - a))
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + label[other]]), pa.array(ids[a + other])], ["a", "b"])
+
+    return shared.mapped(dealt.repartition("tile").sortWithinPartitions("tile"), run, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+    """``node, group, shingles`` of ``wanted (node, digest, group)``; a set is the 8-byte hashes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shared.chunks(batches):
+            sets = [shingle_set(text, words, seed) for text in batch.column("text").to_pylist()]
+            # Of rows that repeat a doc_id only those with the node's own set stand for it.
+            mine = np.array([digest_of(s) for s in sets], np.uint64).view(np.int64) == batch.column("digest").to_numpy()
+            column = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group"), column], ["node", "group", "shingles"]).filter(pa.array(mine))
+
+    keyed = wanted.withColumnRenamed("node", "doc_id")
+    rows = shared.perhaps(shared.texts(docs), keyed, "doc_id").join(keyed, "doc_id")
+    return shared.mapped(rows.select("doc_id", "text", "digest", "group"), run, "node long, group long, shingles binary")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 5, seed: int = 42, width: int = 1, likeness: float = 0.8) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest doc_id that links lead to, itself included.
 
     With 64-bit fingerprints every pair within ``bits`` bits meets (see ``block_keys``).  A
-    wide one is for looser likeness, where a fixed count of blocks can't vouch for a pair:
-    two shingle sets of Jaccard likeness j differ in about acos(2j / (1 + j)) / pi of their
-    bits, so with 512 bits in 32 blocks a pair of likeness 0.8 shares a block 9 times of 10,
-    one of 0.85 49 times of 50 and one of 0.9 always but for 1 in 500.
+    wide one is for looser likeness, and there a link is a pair of shingle sets of Jaccard
+    ``likeness`` or more: sets whose fingerprints share one of 32 blocks and lie within
+    ``bits`` bits form candidate groups, and a group's sets are compared whole.  Two sets of
+    Jaccard likeness j differ in about acos(2j / (1 + j)) / pi of their bits, fewer where
+    their sizes differ; ``bits`` has to leave room above that.
     """
     folder = shared.work_folder(docs.sparkSession)
-    prints = shared.written(fingerprints(docs, words, seed, width), folder, "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    if width == 1:
+        prints = shared.written(fingerprints(docs, words, seed), folder, "prints")
+        nodes = shared.written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), folder, "nodes")
+        found = shared.components(links(nodes, block_keys(F.col("fp"), bits, blocks), bits), folder, "components")
+        labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+        return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    prints = shared.written(wide_fingerprints(docs, words, seed, width), folder, "prints")
+    nodes = prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("node"))
     nodes = shared.written(nodes, folder, "nodes")
-    keys = block_keys(F.col("fp"), bits, blocks) if width == 1 else wide_keys(F.col("fp"), width)
-    found = shared.components(links(nodes, keys, bits), folder, "components")
-    labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    groups = shared.components(links(nodes, wide_keys(F.col("fp"), width), bits), folder, "groups")
+    wanted = shared.written(nodes.select("node", "digest").join(groups.withColumnRenamed("component", "group"), "node"), folder, "wanted")
+    members = shared.written(shingle_sets(docs, wanted, words, seed), folder, "sets")
+    found = shared.components(alike_links(members, likeness), folder, "components")
+    labelled = nodes.join(found, "node", "left").select("digest", "fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(labelled, ["digest", "fp"]).select("doc_id", "fp", "component_id")
