@@ -29,6 +29,11 @@ from .wordhash import mix
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
+#: Keys of a wide fingerprint's set, and minima in each.  Sets of likeness 0.8 share none of the
+#: keys 3 times in a million: (1 - 0.8 ** 5) ** 32.
+BANDS, ROWS = 32, 5
+FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
 #: Shingles of one candidate group that a task takes as a part; a tile holds two parts.
 SET_PART = 1 << 20
 
@@ -91,7 +96,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, seed: int, width: int) -> DataFrame:
-    """``doc_id``, a fingerprint of ``8 * width`` bytes, and the shingle set's digest.
+    """``doc_id``, a fingerprint of ``8 * width`` bytes, the shingle set's digest and its keys.
 
     Further words of a fingerprint come of the same shingle hashes, mixed anew.
     """
@@ -101,14 +106,17 @@ def wide_fingerprints(docs: DataFrame, words: int, seed: int, width: int) -> Dat
             sets = [shingle_set(text, words, seed) for text in batch.column("text").to_pylist()]
             hashed, counts = np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
             prints = np.stack([majority(hashed if not k else mix(hashed + np.uint64(k)), counts) for k in range(width)], axis=1)
+            keys = minima_keys(hashed, counts)
+            cuts = np.append(0, np.cumsum(np.where(counts > 0, BANDS, 0))).astype(np.int32)
             columns = [
                 batch.column("doc_id"),
                 pa.array([row.tobytes() for row in prints], pa.binary()),
                 pa.array(np.array([digest_of(s) for s in sets], np.uint64).view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[counts > 0].ravel().view(np.int64))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest", "keys"])
 
-    return shared.mapped(shared.texts(docs), run, "doc_id long, fp binary, digest long")
+    return shared.mapped(shared.texts(docs), run, "doc_id long, fp binary, digest long, keys array<long>")
 
 
 def block_keys(fp: Column, bits: int, blocks: int) -> Column:
@@ -118,9 +126,20 @@ def block_keys(fp: Column, bits: int, blocks: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *[piece[k] for k in chosen]) for i, chosen in enumerate(combinations(range(blocks), blocks - bits))])
 
 
-def wide_keys(fp: Column, width: int, block_bytes: int = 2) -> Column:
-    """An array of one key for each block of a wide fingerprint."""
-    return F.array(*[F.xxhash64(F.lit(i), F.substring(fp, 1 + i * block_bytes, block_bytes)) for i in range(8 * width // block_bytes)])
+def minima_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BANDS keys for each run of ``counts`` hashes, each made of ROWS minima; none of an empty run counts.
+
+    The minimum under a random order is the same in two sets as often as their Jaccard likeness.
+    """
+    out = np.zeros((len(counts), BANDS), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])[some]
+        for k, factor in enumerate(FACTORS):
+            band = k // ROWS
+            least = np.minimum.reduceat(hashes * factor, starts)
+            out[some, band] = mix(out[some, band] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(band))
+    return out
 
 
 def close_pairs(prints: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int
 
     With 64-bit fingerprints every pair within ``bits`` bits meets (see ``block_keys``).  A
     wide one is for looser likeness, and there a link is a pair of shingle sets of Jaccard
-    ``likeness`` or more: sets whose fingerprints share one of 32 blocks and lie within
+    ``likeness`` or more: sets meet under keys of minima (see ``minima_keys``), those within
     ``bits`` bits form candidate groups, and a group's sets are compared whole.  Two sets of
     Jaccard likeness j differ in about acos(2j / (1 + j)) / pi of their bits, fewer where
     their sizes differ; ``bits`` has to leave room above that.
@@ -281,9 +300,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int
         labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
         return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
     prints = shared.written(wide_fingerprints(docs, words, seed, width), folder, "prints")
-    nodes = prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("node"))
+    nodes = prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     nodes = shared.written(nodes, folder, "nodes")
-    groups = shared.components(links(nodes, wide_keys(F.col("fp"), width), bits), folder, "groups")
+    groups = shared.components(links(nodes, F.col("keys"), bits), folder, "groups")
     wanted = shared.written(nodes.select("node", "digest").join(groups.withColumnRenamed("component", "group"), "node"), folder, "wanted")
     members = shared.written(shingle_sets(docs, wanted, words, seed), folder, "sets")
     found = shared.components(alike_links(members, likeness), folder, "components")

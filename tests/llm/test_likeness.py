@@ -26,6 +26,27 @@ def likeness(a, b):
     return len(a & b) / len(a | b)
 
 
+def pair(rng, n, changed):
+    """A text and a copy with ``changed`` words replaced, far from each other; each takes five shingles along."""
+    base = [str(rng.randrange(10**9)) for _ in range(n)]
+    copy = [*base]
+    for k in range(changed):
+        copy[4 + 9 * k] = "x" + str(rng.randrange(10**9))
+    return " ".join(base), " ".join(copy)
+
+
+def test_pairs_link_exactly_from_likeness_0_8(spark):
+    rng = random.Random(11)
+    near = [pair(rng, 319, 7) for _ in range(150)]
+    small = [(" ".join(w[:8]), " ".join(w)) for w in ([str(rng.randrange(10**9)) for _ in range(9)] for _ in range(100))]
+    apart = [pair(rng, 319, 8) for _ in range(150)]
+    assert all(0.8 <= likeness(*p) < 0.802 for p in near) and all(likeness(*p) == 0.8 for p in small) and all(0.77 < likeness(*p) < 0.8 for p in apart)
+    found = kept(spark, [t for p in near + small + apart for t in p])
+    linked = [2 * k + 1 not in found for k in range(len(near + small + apart))]
+    assert all(2 * k in found for k in range(len(linked)))
+    assert linked == [True] * len(near + small) + [False] * len(apart)
+
+
 def test_frequent_lines_and_near_misses_link_nothing(spark):
     rng = random.Random(12)
     line = " ".join(str(rng.randrange(10**9)) for _ in range(19))
