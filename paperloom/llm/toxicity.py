@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Training takes a bounded sample of labelled documents, ``positives`` and ``negatives`` rows
-at most, chosen by a hash of doc_id.  Each coordinate has its own rate, and L1 leaves few
+at most, chosen by a hash of doc_id; scores stand for the classes as they are among all
+labelled documents, whatever share of each class the sample took.  Each coordinate has its own rate, and L1 leaves few
 weights above zero; those alone are broadcast.  Scoring reads every whole text.
 
 Cases: a null or empty text scores the bias; words are runs of letters, digits and bytes of
@@ -52,8 +53,11 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return np.concatenate(owners), (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def sampled(labels: DataFrame, label: str, learnable: Column, positives: int, negatives: int) -> DataFrame:
-    rows = labels.where(learnable & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+def labelled(labels: DataFrame, label: str, learnable: Column) -> DataFrame:
+    return labels.where(learnable & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+
+
+def sampled(rows: DataFrame, positives: int, negatives: int) -> DataFrame:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return rows.where("y > 0").orderBy(*order).limit(positives).union(rows.where("y <= 0").orderBy(*order).limit(negatives))
 
@@ -63,8 +67,8 @@ def train(
     labels: DataFrame,
     label: str = "toxic",
     learnable: Column | None = None,
-    positives: int = 3000,
-    negatives: int = 5000,
+    positives: int = 4000,
+    negatives: int = 8000,
     bits: int = 20,
     epochs: int = 8,
     batch: int = 32,
@@ -74,7 +78,11 @@ def train(
     l2: float = 1.0,
 ) -> Model:
     """Learns from the sample in mini-batches; ``alpha`` and ``beta`` set the rate of a coordinate."""
-    chosen = sampled(labels, label, F.lit(True) if learnable is None else learnable, positives, negatives)
+    rows = labelled(labels, label, F.lit(True) if learnable is None else learnable)
+    chosen = sampled(rows, positives, negatives)
+    bad, fine = rows.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).head()
+    # A class that its bound cuts is rarer in the sample than it is; the bias makes up for that.
+    shift = float(np.log(max(fine, negatives) / negatives) - np.log(max(bad, positives) / positives))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in shared.chunks(batches):
@@ -123,7 +131,7 @@ def train(
             bias -= alpha / (beta + np.sqrt(bias_n)) * float(error.sum())
     w = weights(slice(None))
     kept = np.flatnonzero(w)
-    return Model(bits, kept, w[kept], bias)
+    return Model(bits, kept, w[kept], bias - shift)
 
 
 def scored_chunk(part: pa.RecordBatch, column: str, model: Model, table: np.ndarray) -> np.ndarray:
