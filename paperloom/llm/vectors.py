@@ -12,8 +12,8 @@ parts, so memory is bounded whatever the slab holds.
 Equal vectors are one node that knows how many they are.  Tiles return each node's number of
 links and a spanning forest, never the pairs.
 
-Cases: vectors that are null, zero, of another length than the longest, or that hold null or
-non-finite components link with nothing and stay; ties go to the smallest vec_id; repeated
+Cases: vectors that are null, empty, zero, or that hold null or non-finite components link with
+nothing and stay; vectors of different lengths never link, those of each length do; ties go to the smallest vec_id; repeated
 rows of one vec_id are other vectors to one another; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -21,9 +21,11 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,22 +65,30 @@ def limits(dim: int, blocks: int, cosine: float) -> list[float]:
     return [(2 - 2 * cosine) * (b - a) / dim * (1 + 1e-9) + 1e-12 for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def slabs(nodes: DataFrame, dim: int, blocks: int, cosine: float) -> DataFrame:
+@cache
+def shape(dim: int, blocks: int, cosine: float) -> tuple[np.ndarray, list[int], list[float]]:
+    """Rotation, edges and limits for one length; no block is empty."""
+    blocks = min(blocks, dim)
+    return rotation(dim), edges_of(dim, blocks), limits(dim, blocks, cosine)
+
+
+def slabs(nodes: DataFrame, blocks: int, cosine: float) -> DataFrame:
     """Each vector at home in its slab of every block, and as a guest in the slab before."""
-    edges, most = edges_of(dim, blocks), limits(dim, blocks, cosine)
-    turn = rotation(dim)
-    firsts, widths = turn[:, edges[:-1]], np.sqrt(most) * 1.000001
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            dims = pc.list_value_length(whole.column("embedding")).to_numpy()
+            for dim in np.unique(dims).tolist():
+                batch = whole.filter(pa.array(dims == dim))
+                turn, edges, most = shape(dim, blocks, cosine)
+                firsts, widths = turn[:, edges[:-1]], np.sqrt(most) * 1.000001
                 at = np.floor(rotated_to(unit_rows(batch.column("embedding"), batch.num_rows), firsts) / widths).astype(np.int32)
-                cuts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * blocks)
+                cuts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(most))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("embedding"), pa.ListArray.from_arrays(cuts, pa.array(at.ravel()))], ["node", "n", "embedding", "slab"])
 
     homes = shared.mapped(nodes.select("node", "n", "embedding"), run, "node long, n long, embedding array<float>, slab array<int>")
-    placed = homes.select("node", "n", "embedding", F.posexplode("slab").alias("block", "home"))
-    return placed.select("node", "n", "embedding", "block", "home", F.explode(F.array("home", F.col("home") - 1)).alias("slab"))
+    placed = homes.select("node", "n", "embedding", F.size("embedding").alias("dim"), F.posexplode("slab").alias("block", "home"))
+    return placed.select("node", "n", "embedding", "dim", "block", "home", F.explode(F.array("home", F.col("home") - 1)).alias("slab"))
 
 
 def rotated_to(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -90,12 +100,12 @@ def rotated_to(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
 
 def tiles(placed: DataFrame, part: int) -> DataFrame:
     """Deals a slab's vectors out so that every two of them meet in one tile."""
-    sizes = placed.groupBy("block", "slab").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    sizes = placed.groupBy("dim", "block", "slab").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("low"), F.greatest(p, F.col("own")).alias("high")))
-    # A row for each slab of each block: a few, whatever the input, as unit vectors fill [-1, 1].
-    dealt = placed.join(F.broadcast(sizes), ["block", "slab"]).withColumn("own", own)
-    return dealt.select("node", "n", "embedding", "block", "own", (F.col("home") == F.col("slab")).alias("home"), F.explode(each).alias("t"), "slab").select("*", F.xxhash64("block", "slab", "t.low", "t.high").alias("tile")).drop("t", "slab")
+    # A row for each slab of each block of each length: a few, whatever the rows, as unit vectors fill [-1, 1].
+    dealt = placed.join(F.broadcast(sizes), ["dim", "block", "slab"]).withColumn("own", own)
+    return dealt.select("node", "n", "embedding", "block", "own", (F.col("home") == F.col("slab")).alias("home"), F.explode(each).alias("t"), "dim", "slab").select("*", F.xxhash64("dim", "block", "slab", "t.low", "t.high").alias("tile")).drop("t", "dim", "slab")
 
 
 def tile_links(group: pa.Table, block: int, turn: np.ndarray, edges: list[int], most: list[float], cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +145,8 @@ def tile_links(group: pa.Table, block: int, turn: np.ndarray, edges: list[int],
     return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
 
-def linked(nodes: DataFrame, dim: int, cosine: float, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+def linked(nodes: DataFrame, cosine: float, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
     """``node, links, root``: links found in a tile, and the node's root in that tile's forest."""
-    turn, edges, most = rotation(dim), edges_of(dim, blocks), limits(dim, blocks, cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shared.groups(batches, ["tile"]):
@@ -146,6 +155,7 @@ def linked(nodes: DataFrame, dim: int, cosine: float, blocks: int = BLOCKS, part
                 if b - a < 2:
                     continue
                 group = table.slice(a, b - a)
+                turn, edges, most = shape(len(group.column("embedding")[0]), blocks, cosine)
                 left, right = tile_links(group, group.column("block")[0].as_py(), turn, edges, most, cosine)
                 if not len(left):
                     continue
@@ -155,7 +165,7 @@ def linked(nodes: DataFrame, dim: int, cosine: float, blocks: int = BLOCKS, part
                 some = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[label[some]])], ["node", "links", "root"])
 
-    dealt = tiles(slabs(nodes, dim, blocks, cosine), part)
+    dealt = tiles(slabs(nodes, blocks, cosine), part)
     return shared.mapped(dealt.repartition("tile").sortWithinPartitions("tile"), run, "node long, links long, root long")
 
 
@@ -163,11 +173,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCK
     """``vec_id, n_links, component_id, kept`` for every row."""
     folder = shared.work_folder(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    dim = rows.agg(F.max(F.size("embedding"))).head()[0] or 0
-    fine = (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     fine = F.coalesce(fine, F.lit(False))
     nodes = shared.written(rows.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), folder, "nodes")
-    found = shared.written(linked(nodes, max(dim, 1), cosine, blocks, part), folder, "links")
+    found = shared.written(linked(nodes, cosine, blocks, part), folder, "links")
     classes = shared.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), folder, "components")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = nodes.join(counts, "node", "left").join(classes, "node", "left")
