@@ -7,15 +7,18 @@ within some block's, so a range join a block finds it: slabs of the block's firs
 as wide as the block's radius, are compared with themselves and the next slab.  Candidates of
 any block are verified by their cosine in double precision, and a link counts in the first
 block whose budget it keeps, so once.  A slab with many vectors is dealt out in tiles of two
-parts, so memory is bounded whatever the slab holds.
+parts, so memory is bounded whatever the slab holds.  At cosine 0.9 in 64 even dimensions a slab is wider
+than most of the data, and no index of fewer coordinates tells more: compared are about 2 in 5 of all pairs
+in each block.  One product of matrices compares a strip, so a pair costs about a nanosecond.
 
 Equal vectors are one node that knows how many they are.  Tiles return each node's number of
 links and a spanning forest, never the pairs.
 
-Cases: vectors that are null, empty, zero, or that hold null or non-finite components link with
-nothing and stay; vectors of different lengths never link, those of each length do; ties go to the smallest vec_id; repeated
-rows of one vec_id are other vectors to one another; an empty table gives an empty result;
-other columns are ignored.
+Cases: vectors that are null, empty, zero, or that hold null or non-finite components, and rows
+without a vec_id, link with nothing and stay; vectors of different lengths never link, those of
+each length do; very long vectors make smaller tiles; ties go to the smallest vec_id; repeated rows of one vec_id are other vectors to
+one another; doubles are compared as doubles; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 BLOCKS = 4
-#: Vectors of one slab that a task takes as a part; a tile holds two parts.
-PART = 12_000
+#: Components of one slab's vectors that a task takes as a part; a tile holds two parts.
+PART = 24_000 * 64
+#: Rows and columns of a strip that is compared at once.
+ROWS, COLUMNS = 256, 2048
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -55,6 +60,11 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
+def kind(vectors: DataFrame) -> str:
+    """Floats stay floats, so that they are shuffled as such; all else becomes double."""
+    return "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+
+
 def edges_of(dim: int, blocks: int) -> list[int]:
     return [dim * i // blocks for i in range(blocks + 1)]
 
@@ -86,7 +96,7 @@ def slabs(nodes: DataFrame, blocks: int, cosine: float) -> DataFrame:
                 cuts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(most))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("embedding"), pa.ListArray.from_arrays(cuts, pa.array(at.ravel()))], ["node", "n", "embedding", "slab"])
 
-    homes = shared.mapped(nodes.select("node", "n", "embedding"), run, "node long, n long, embedding array<float>, slab array<int>")
+    homes = shared.mapped(nodes.select("node", "n", "embedding"), run, f"node long, n long, embedding array<{kind(nodes)}>, slab array<int>")
     placed = homes.select("node", "n", "embedding", F.size("embedding").alias("dim"), F.posexplode("slab").alias("block", "home"))
     return placed.select("node", "n", "embedding", "dim", "block", "home", F.explode(F.array("home", F.col("home") - 1)).alias("slab"))
 
@@ -100,7 +110,7 @@ def rotated_to(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
 
 def tiles(placed: DataFrame, part: int) -> DataFrame:
     """Deals a slab's vectors out so that every two of them meet in one tile."""
-    sizes = placed.groupBy("dim", "block", "slab").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    sizes = placed.groupBy("dim", "block", "slab").agg(F.ceil(F.count("*") * F.col("dim") / part).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("low"), F.greatest(p, F.col("own")).alias("high")))
     # A row for each slab of each block of each length: a few, whatever the rows, as unit vectors fill [-1, 1].
@@ -108,41 +118,94 @@ def tiles(placed: DataFrame, part: int) -> DataFrame:
     return dealt.select("node", "n", "embedding", "block", "own", (F.col("home") == F.col("slab")).alias("home"), F.explode(each).alias("t"), "dim", "slab").select("*", F.xxhash64("dim", "block", "slab", "t.low", "t.high").alias("tile")).drop("t", "dim", "slab")
 
 
-def tile_links(group: pa.Table, block: int, turn: np.ndarray, edges: list[int], most: list[float], cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with the cosine asked for whose first near block is ``block``."""
+def between(turned: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances, summed in one order so that every task rounds alike; ``turned`` has a row a coordinate."""
+    out = np.zeros(np.broadcast_shapes(i.shape, j.shape))
+    for row in turned:
+        gap = row[i] - row[j]
+        out += gap * gap
+    return out
+
+
+def inner(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.zeros(np.broadcast_shapes(i.shape, j.shape))
+    for row in unit:
+        out += row[i] * row[j]
+    return out
+
+
+def tile_links(group: pa.Table, block: int, turn: np.ndarray, edges: list[int], most: list[float], cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with the cosine asked for whose first near block is ``block``, some at a time.
+
+    Rows are sorted by the block's first coordinate, those at home first, so a strip of rows is
+    compared only with the others in its reach.  One product gives a strip's distances: half
+    squared norms ride along as coordinates.  Pairs near in the block are verified in double
+    precision, as one array where much of a strip is near, as in a large group of near copies.
+    """
     n = len(group)
     unit = unit_rows(group.column("embedding"), n)
-    own, home = group.column("own").to_numpy(), group.column("home").to_numpy()
-    whole = own.min() == own.max()
     turned = rotated(unit, turn)
-    near = turned[:, edges[block] : edges[block + 1]].astype(np.float32)
-    square = (near * near).sum(axis=1)
+    own, home = group.column("own").to_numpy(), group.column("home").to_numpy().astype(bool)
+    whole = own.min() == own.max()
+    first, near = turned[:, edges[block]].copy(), turned[:, edges[block] : edges[block + 1]].astype(np.float32)
+    half, one = (near * near).sum(axis=1, keepdims=True) / 2, np.ones((n, 1), np.float32)
+    sought, target = np.hstack([near, -half, one]), np.hstack([near, one, -half])
+    unit, turned = np.ascontiguousarray(unit.T), np.ascontiguousarray(turned.T)
+    reach, least = np.sqrt(most[block]) + 1e-6, np.float32(-most[block] / 2 - 5e-5)
+
+    def first_near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        mine = between(turned[edges[block] : edges[block + 1]], i, j) <= most[block]
+        for k in range(block):
+            mine &= between(turned[edges[k] : edges[k + 1]], i, j) > most[k]
+        return mine
+
+    order = np.lexsort((first, ~home))
     # In a tile of two parts, pairs across them only; guests are compared with those at home.
-    left = np.flatnonzero(home) if whole else np.flatnonzero(own == own.min())
-    right = np.arange(n) if whole else np.flatnonzero(own != own.min())
-    lefts, rights = [], []
-    target, bound = near[right], most[block] + 1e-4
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        apart = near[rows] @ target.T
-        a, b = np.nonzero(apart >= (square[rows][:, None] + square[right][None, :] - bound) / 2)
-        a, b = rows[a], right[b]
-        fine = home[a] | home[b]
-        if whole:
-            fine &= ~home[b] | (a < b)
-        a, b = a[fine], b[fine]
-        for some in range(0, len(a), 1 << 16):
-            i, j = a[some : some + (1 << 16)], b[some : some + (1 << 16)]
-            linked = (unit[i] * unit[j]).sum(axis=1) >= cosine
-            i, j = i[linked], j[linked]
-            gap = (turned[i] - turned[j]) ** 2
-            mine = gap[:, edges[block] : edges[block + 1]].sum(axis=1) <= most[block]
-            for k in range(block):
-                mine &= gap[:, edges[k] : edges[k + 1]].sum(axis=1) > most[k]
-            lefts.append(i[mine])
-            rights.append(j[mine])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
+    left, right = (order, order) if whole else (order[own[order] == own.min()], order[own[order] != own.min()])
+    target, homes = target[right], int(home[right].sum())
+    for at in range(0, len(left), ROWS):
+        rows = left[at : at + ROWS]
+        low, high = first[rows].min() - reach, first[rows].max() + reach
+        for begin, end in ((0, homes), (homes, len(right)))[: 2 if home[rows].any() else 1]:
+            lo, hi = begin + np.searchsorted(first[right[begin:end]], [low, high])
+            for strip in range(max(int(lo), at if whole else 0), int(hi), COLUMNS):
+                columns = right[strip : min(strip + COLUMNS, hi)]
+                close = sought[rows] @ target[strip : strip + len(columns)].T >= least
+                close &= home[rows][:, None] | home[columns][None, :]
+                if whole and strip < at + len(rows):
+                    close &= np.arange(at, at + len(rows))[:, None] < np.arange(strip, strip + len(columns))[None, :]
+                if 8 * np.count_nonzero(close) > close.size:
+                    i, j = rows[:, None], columns[None, :]
+                    a, b = np.nonzero(close & (inner(unit, i, j) >= cosine) & first_near(i, j))
+                    i, j = rows[a], columns[b]
+                else:
+                    a, b = np.divmod(np.flatnonzero(close), len(columns))
+                    i, j = rows[a], columns[b]
+                    linked = inner(unit, i, j) >= cosine
+                    i, j = i[linked], j[linked]
+                    mine = first_near(i, j)
+                    i, j = i[mine], j[mine]
+                if len(i):
+                    yield i, j
+
+
+def tile_forest(n: int, count: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each member's number of links and the smallest index that links lead to; holds some pairs at a time."""
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    held, size = [], 0
+
+    def merge() -> np.ndarray:
+        roots = np.flatnonzero(label != np.arange(n))
+        return shared.forest(n, np.concatenate([roots, *[i for i, _ in held]]), np.concatenate([label[roots], *[j for _, j in held]]))
+
+    for i, j in pairs:
+        np.add.at(links, i, count[j])
+        np.add.at(links, j, count[i])
+        held.append((i, j))
+        size += len(i)
+        if size > 1 << 20:
+            label, held, size = merge(), [], 0
+    return links, merge()
 
 
 def linked(nodes: DataFrame, cosine: float, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
@@ -156,14 +219,10 @@ def linked(nodes: DataFrame, cosine: float, blocks: int = BLOCKS, part: int = PA
                     continue
                 group = table.slice(a, b - a)
                 turn, edges, most = shape(len(group.column("embedding")[0]), blocks, cosine)
-                left, right = tile_links(group, group.column("block")[0].as_py(), turn, edges, most, cosine)
-                if not len(left):
-                    continue
                 count, ids = group.column("n").to_numpy(), group.column("node").to_numpy()
-                links = np.bincount(left, count[right], len(group)) + np.bincount(right, count[left], len(group))
-                label = shared.forest(len(group), left, right)
+                links, label = tile_forest(len(group), count, tile_links(group, group.column("block")[0].as_py(), turn, edges, most, cosine))
                 some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[label[some]])], ["node", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["node", "links", "root"])
 
     dealt = tiles(slabs(nodes, blocks, cosine), part)
     return shared.mapped(dealt.repartition("tile").sortWithinPartitions("tile"), run, "node long, links long, root long")
@@ -172,15 +231,18 @@ def linked(nodes: DataFrame, cosine: float, blocks: int = BLOCKS, part: int = PA
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     folder = shared.work_folder(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind(vectors)}>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    fine = F.coalesce(fine, F.lit(False))
-    nodes = shared.written(rows.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), folder, "nodes")
+    fine = F.coalesce(fine & F.col("vec_id").isNotNull(), F.lit(False))
+    # A node is a distinct vector; its number is its own even where vec_ids repeat.
+    nodes = rows.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    nodes = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
     found = shared.written(linked(nodes, cosine, blocks, part), folder, "links")
     classes = shared.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), folder, "components")
+    lows = nodes.select("node", "low").join(classes, "node").groupBy("component").agg(F.min("low").alias("least"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = nodes.join(counts, "node", "left").join(classes, "node", "left")
-    nodes = nodes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    nodes = nodes.join(counts, "node", "left").join(classes, "node", "left").join(lows, "component", "left")
+    nodes = nodes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id"))
     joined = rows.withColumn("key", F.when(fine, F.col("embedding"))).join(nodes.withColumnRenamed("embedding", "key"), "key", "left")
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

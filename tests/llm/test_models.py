@@ -131,7 +131,7 @@ def test_revisits(spark):
     assert warc.resolved(record(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("part", [12_000, 40])
+@pytest.mark.parametrize("part", [24_000 * 64, 40 * 16])
 def test_vectors(spark, part):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(120, 16))
@@ -169,6 +169,30 @@ def test_pieces_equal_the_library(spark):
     assert pieces.round_trip(docs.limit(0), queries.vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_pieces_of_random_unicode_and_the_odd_table(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(0x400, 0x30FF), rng.randint(0x10000, 0x1FFFF)])) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    texts += ["\n", " ", "▁", "a▁b", "word " * 60_000, "x" * 20_000]
+    rows = [(i % 300, t, "kept") for i, t in enumerate(texts)] + [(7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
+    expected = sorted((i, len(library.encode(t or "")), library.decode(library.encode(t or "")) == (t or "")) for i, t, _ in rows)
+    assert sorted((r.doc_id, r.n_ids, r.restored) for r in pieces.round_trip(docs, path).collect()) == expected
+    assert sorted((r.doc_id, list(r.ids)) for r in pieces.encoded(docs, path).collect()) == sorted((i, library.encode(t or "")) for i, t, _ in rows)
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_normaliser_equals_the_library(squeeze):
+    library = pytest.importorskip("sentencepiece")
+    other = library.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=squeeze)
+    spec = next(v for n, v in pieces.fields(other.serialized_model_proto()) if n == 3)
+    ours = pieces.Normaliser(dict(pieces.fields(spec)))
+    rng = random.Random(4)
+    texts = ["", "ａｂｃ  Ⅳ ﬁ  é é", "  x　y "] + ["".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(0x2000, 0x33FF), rng.randint(0xFF00, 0xFFEF)])) for _ in range(20)) for _ in range(500)]
+    assert [ours(t) for t in texts] == [other.normalize(t) for t in texts]
+
+
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_sql(spark, name):
     import duckdb
