@@ -17,7 +17,7 @@ links and a spanning forest, never the pairs.
 Cases: vectors that are null, empty, zero, or that hold null or non-finite components, and rows
 without a vec_id, link with nothing and stay; vectors of different lengths never link, those of
 each length do; very long vectors make smaller tiles; ties go to the smallest vec_id; repeated rows of one vec_id are other vectors to
-one another; doubles are compared as doubles; an empty table gives an empty result; other columns
+one another, but share a component; doubles are compared as doubles; an empty table gives an empty result; other columns
 are ignored, whatever their names.
 """
 
@@ -94,11 +94,11 @@ def slabs(nodes: DataFrame, blocks: int, cosine: float) -> DataFrame:
                 firsts, widths = turn[:, edges[:-1]], np.sqrt(most) * 1.000001
                 at = np.floor(rotated_to(unit_rows(batch.column("embedding"), batch.num_rows), firsts) / widths).astype(np.int32)
                 cuts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(most))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("embedding"), pa.ListArray.from_arrays(cuts, pa.array(at.ravel()))], ["node", "n", "embedding", "slab"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "low", "n", "embedding")), pa.ListArray.from_arrays(cuts, pa.array(at.ravel()))], ["node", "low", "n", "embedding", "slab"])
 
-    homes = shared.mapped(nodes.select("node", "n", "embedding"), run, f"node long, n long, embedding array<{kind(nodes)}>, slab array<int>")
-    placed = homes.select("node", "n", "embedding", F.size("embedding").alias("dim"), F.posexplode("slab").alias("block", "home"))
-    return placed.select("node", "n", "embedding", "dim", "block", "home", F.explode(F.array("home", F.col("home") - 1)).alias("slab"))
+    homes = shared.mapped(nodes.select("node", "low", "n", "embedding"), run, f"node long, low long, n long, embedding array<{kind(nodes)}>, slab array<int>")
+    placed = homes.select("node", "low", "n", "embedding", F.size("embedding").alias("dim"), F.posexplode("slab").alias("block", "home"))
+    return placed.select("node", "low", "n", "embedding", "dim", "block", "home", F.explode(F.array("home", F.col("home") - 1)).alias("slab"))
 
 
 def rotated_to(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -115,7 +115,7 @@ def tiles(placed: DataFrame, part: int) -> DataFrame:
     each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("low"), F.greatest(p, F.col("own")).alias("high")))
     # A row for each slab of each block of each length: a few, whatever the rows, as unit vectors fill [-1, 1].
     dealt = placed.join(F.broadcast(sizes), ["dim", "block", "slab"]).withColumn("own", own)
-    return dealt.select("node", "n", "embedding", "block", "own", (F.col("home") == F.col("slab")).alias("home"), F.explode(each).alias("t"), "dim", "slab").select("*", F.xxhash64("dim", "block", "slab", "t.low", "t.high").alias("tile")).drop("t", "dim", "slab")
+    return dealt.select("node", "low", "n", "embedding", "block", "own", (F.col("home") == F.col("slab")).alias("home"), F.explode(each).alias("t"), "dim", "slab").select("*", F.xxhash64("dim", "block", "slab", "t.low", "t.high").alias("tile")).drop("t", "dim", "slab")
 
 
 def between(turned: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def tile_forest(n: int, count: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.
 
 
 def linked(nodes: DataFrame, cosine: float, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
-    """``node, links, root``: links found in a tile, and the node's root in that tile's forest."""
+    """``node, links, low, root``: links found in a tile, the node's smallest vec_id and that of its root in the tile's forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shared.groups(batches, ["tile"]):
@@ -219,13 +219,13 @@ def linked(nodes: DataFrame, cosine: float, blocks: int = BLOCKS, part: int = PA
                     continue
                 group = table.slice(a, b - a)
                 turn, edges, most = shape(len(group.column("embedding")[0]), blocks, cosine)
-                count, ids = group.column("n").to_numpy(), group.column("node").to_numpy()
+                count, ids, lows = (group.column(c).to_numpy() for c in ("n", "node", "low"))
                 links, label = tile_forest(len(group), count, tile_links(group, group.column("block")[0].as_py(), turn, edges, most, cosine))
                 some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["node", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[some], links[some], lows[some], lows[label[some]])], ["node", "links", "low", "root"])
 
     dealt = tiles(slabs(nodes, blocks, cosine), part)
-    return shared.mapped(dealt.repartition("tile").sortWithinPartitions("tile"), run, "node long, links long, root long")
+    return shared.mapped(dealt.repartition("tile").sortWithinPartitions("tile"), run, "node long, links long, low long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
@@ -238,11 +238,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCK
     nodes = rows.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     nodes = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
     found = shared.written(linked(nodes, cosine, blocks, part), folder, "links")
-    classes = shared.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), folder, "components")
-    lows = nodes.select("node", "low").join(classes, "node").groupBy("component").agg(F.min("low").alias("least"))
+    classes = shared.components(found.select(F.col("low").alias("a"), F.col("root").alias("b")), folder, "components").withColumnRenamed("node", "low")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = nodes.join(counts, "node", "left").join(classes, "node", "left").join(lows, "component", "left")
-    nodes = nodes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id"))
+    nodes = nodes.join(counts, "node", "left").join(classes, "low", "left")
+    nodes = nodes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
     joined = rows.withColumn("key", F.when(fine, F.col("embedding"))).join(nodes.withColumnRenamed("embedding", "key"), "key", "left")
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
