@@ -1,18 +1,20 @@
-"""Best-fit packing of token sequences, bulk-synchronous over range-sorted documents and gaps.
-
-Documents are tokenised once into pieces of at most ``size`` tokens.  Pieces are ordered by
-length and ranked inside it, distributedly; a run of equal lengths, or of sequences with
-equal gaps, is one record with a count.  A round sorts both sides by size and sweeps: each
-run of pieces looks for its successor, the smallest gap that holds it; among runs that want
-the same gap the largest comes first by rank and takes as many as there are; gaps are then
-updated and the next round begins, until no gap takes a piece.  What is left opens as many
-new sequences as its tokens need at least.  There are at most ``size`` lengths, so the state
-between rounds is bounded by ``size`` and not by the data; every piece then finds its place
-by its length and rank.
+"""Best-fit packing of token sequences over range-sorted documents and gaps.
+
+Documents are tokenised once into pieces of at most ``size`` tokens.  Pieces are ranked inside
+their length, distributedly; a run of equal lengths, or of sequences with equal gaps, is one
+record with a count.  Sweeps take the lengths in descending order: a run of pieces looks for its
+successor, the smallest gap that holds it; by rank, each sequence of that gap takes as many of
+them as fit; gaps are then updated and what is left looks for the next successor.  Where no gap
+holds a piece, as many sequences open as the run fills.  Every piece then finds its place by its
+length and rank.  This is best-fit decreasing, exactly.
+
+There are at most ``size`` lengths and, between sweeps, some thousands of runs, whatever the data:
+the sweeps run where the plan is made, on the driver, and not as tasks.
 
 Cases: a null or empty text is the single id that ends a document; only longer documents are
-cut; ties go by order of reading, then doc_id does not matter; repeated rows are packed each;
-an empty table gives an empty result; other columns are ignored.
+cut, very long ones into many pieces; of equal lengths the order of reading decides, doc_id does not matter;
+repeated rows are packed each; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -84,6 +87,12 @@ class WordIds:
         return ids, np.diff(before)
 
 
+@cache
+def coder_of(path: str) -> WordIds:
+    """One coder a worker, which keeps its words from task to task."""
+    return WordIds(path)
+
+
 #: ASCII letters, other signs of ASCII, and bytes in lower case.
 LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 SIGN = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
@@ -116,7 +125,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, k
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, made = WordIds(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        coder, part, made = coder_of(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in shared.chunks(batches, most=2 << 20):
             ids, counts = coder.encode(*shared.text_buffers(batch.column("text")))
             out = np.full(len(ids) + len(counts), end_id, "<u4")
@@ -147,36 +156,49 @@ def sweeps(counts: dict[int, int], size: int = SIZE) -> np.ndarray:
     """Matches runs of pieces with runs of gaps.
 
     ``counts`` has how many pieces there are of each length.  Returns rows of length, first
-    rank, first sequence, offset: the pieces of that length from that rank on lie at that
-    offset in consecutive sequences, up to the row's successor.
+    rank, first sequence, offset, pieces a sequence: the pieces of that length from that rank on
+    lie side by side from that offset on in consecutive sequences, up to the row's successor.
     """
-    left = dict(sorted(counts.items(), reverse=True))
-    rank = dict.fromkeys(left, 0)
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, sequences; sorted by gap
-    opened, rows = 0, []
-    while left:
-        after: list[tuple[int, int, int]] = []
-        for length in list(left):
-            at = bisect_left(gaps, (length,))
-            while at < len(gaps) and left[length]:
-                gap, first, n = gaps.pop(at)
-                took = min(n, left[length])
-                rows.append((length, rank[length], first, size - gap))
-                rank[length] += took
-                left[length] -= took
-                if gap > length:
-                    after.append((gap - length, first, took))
-                if took < n:
-                    insort(gaps, (gap, first + took, n - took))
-            if not left[length]:
-                del left[length]
-        if not after and left:
-            tokens = sum(length * n for length, n in left.items())
-            least = -(-tokens // size)
-            gaps.append((size, opened, least))
-            opened += least
-        gaps = sorted(gaps + after)
-    return np.array(sorted(rows), np.int64).reshape(-1, 4)
+    sizes: list[int] = []  # of gaps, sorted
+    runs: dict[int, list[tuple[int, int]]] = {}  # of each gap: first sequence and how many
+    rows, opened = [], 0
+
+    def free(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in runs:
+                insort(sizes, gap)
+            runs.setdefault(gap, []).append((first, n))
+
+    for length, left in sorted(counts.items(), reverse=True):
+        rank = 0
+        while left:
+            at = bisect_left(sizes, length)
+            if at == len(sizes):
+                n = -(-left // (size // length))
+                free(size, opened, n)
+                opened += n
+                continue
+            gap = sizes[at]
+            first, n = runs[gap].pop()
+            if not runs[gap]:
+                del runs[gap], sizes[at]
+            most = gap // length
+            full, rest = divmod(min(left, n * most), most)
+            rows.append((length, rank, first, size - gap, most))
+            free(gap - most * length, first, full)
+            if rest:
+                free(gap - rest * length, first + full, 1)
+            free(gap, first + full + (rest > 0), n - full - (rest > 0))
+            rank += full * most + rest
+            left -= full * most + rest
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+
+
+def placed(plan: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces by length and rank; ``plan`` is sorted by both."""
+    row = plan[np.searchsorted((plan[:, 0] << 44) + plan[:, 1], (length << 44) + rank, side="right") - 1]
+    after, beside = np.divmod(rank - row[:, 1], row[:, 4])
+    return row[:, 2] + after, row[:, 3] + beside * length
 
 
 def packed(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -189,16 +211,15 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, k
     plan = sweeps(counts, size)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = held.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
+    # As many rows as tasks and lengths make, which grows with the data: never broadcast.
+    ranked = cut.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
     more = ", ids array<int>" * keep_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = (plan[:, 0] << 44) + plan[:, 1]
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            row = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
+            sequence, offset = placed(plan, *(batch.column(c).to_numpy() for c in ("length", "rank")))
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            columns += [pa.array(plan[row, 2] + rank - plan[row, 1]), pa.array(plan[row, 3])] + ([batch.column("ids")] if keep_ids else [])
+            columns += [pa.array(sequence), pa.array(offset)] + ([batch.column("ids")] if keep_ids else [])
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids])
 
     return shared.mapped(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + more)
