@@ -69,6 +69,9 @@ def resolved(records: DataFrame, span_seconds: int = 86_400) -> DataFrame:
     rows = rows.withColumn("stored", stored).withColumn("span", F.floor(F.unix_micros(F.col("date").cast("timestamp")) / (span_seconds * 1_000_000)))
     # Bodies are behind; what is left is read twice.
     rows = shared.written(rows, shared.work_folder(records.sparkSession), "records")
+    # Those without a URL or a date, be they many, have nothing to meet and are not shuffled.
+    lost = F.col("canonical_url").isNull() | F.col("date").isNull()
+    alone, rows = rows.where(lost & (F.col("status") == 304)), rows.where(~lost)
     # The last response before each span that has records of a URL.
     spans = rows.groupBy("canonical_url", "span").agg(F.max_by("stored", F.when(full, F.struct("date", "record_id"))).alias("held"))
     before = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,9 +90,10 @@ def resolved(records: DataFrame, span_seconds: int = 86_400) -> DataFrame:
     updates = F.map_filter("headers", lambda k, v: ~k.isin(FIXED))
     kept = F.map_filter("r_headers", lambda k, v: ~F.map_contains_key(updates, k))
     merged = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, updates))))
-    return found.withColumn("verdict", verdict).select(
-        "record_id", "canonical_url", F.col("r.record_id").alias("response_id"), "verdict", F.when(F.col("verdict") == "resolved", merged).alias("headers"), F.when(F.col("verdict") == "resolved", F.col("r.digest")).alias("digest")
-    )
+    resolved_only = F.col("verdict") == "resolved"
+    found = found.withColumn("verdict", verdict).select("record_id", "canonical_url", F.col("r.record_id").alias("response_id"), "verdict", F.when(resolved_only, merged).alias("headers"), F.when(resolved_only, F.col("r.digest")).alias("digest"))
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("response_id", "headers", "digest")]
+    return found.unionByName(alone.select("record_id", "canonical_url", F.lit("no_earlier_response").alias("verdict"), *none))
 
 
 def captures(pages: DataFrame) -> DataFrame:
