@@ -6,10 +6,10 @@ entry counts: an overfull bucket splits, doubling the directory where its depth
 the directory, until buckets fit or hold a single key.  Probing: an owner task reads whole
 buckets, walks each key's collision chain and compares bytes.
 
-Cases: a null text counts as empty, and empty texts are equal to one another; texts are
+Cases: a null text counts as empty, very long texts are compared whole, and empty texts are equal to one another; texts are
 equal when they are after each run of ASCII white space became one space; ties go to the
 smallest doc_id; repeated rows of one doc_id count each in group_size; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from . import shared
 BUCKET_ENTRIES = 50_000
 #: Bytes of texts that a task holds to collapse copies it reads itself.
 WINDOW_BYTES = 16 << 20
-#: Bits of the key that one directory pass looks at.
+#: Times that a pass doubles a directory which is too shallow.
 PASS_BITS = 10
 SPACE = frozenset(b" \t\n\v\f\r")
 
@@ -84,44 +84,52 @@ def prefix(depth: int) -> Column:
     return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int = BUCKET_ENTRIES) -> tuple[int, list[tuple[int, int]]]:
-    """The directory's depth and its buckets as (prefix, depth of the bucket).
+def directory(entries: DataFrame, capacity: int = BUCKET_ENTRIES) -> list[tuple[int, int]]:
+    """The directory's buckets in order, as (prefix, depth).
 
-    Each pass counts the overfull buckets' entries by some more bits and halves buckets on
-    those counts; a directory of depth d is doubled when a bucket of depth d must split.  It
-    holds a few numbers for each ``capacity`` entries, never a key or a document.  A bucket
-    that no bit divides is left as a collision chain.
+    The first pass counts entries by as many bits as even keys need; a directory that is still
+    too shallow is doubled ``PASS_BITS`` times at once, and the entries of its overfull buckets
+    alone are counted again.  It holds some numbers for each ``capacity`` entries, never a key
+    or a document.  A bucket of one key alone is left as a collision chain.
     """
-    fixed: list[tuple[int, int]] = []
-    overfull, depth = [(0, 0)], 0
-    while overfull and depth < 40:
-        finer = depth + PASS_BITS
-        among = entries if not depth else entries.where(prefix(depth).isin([p for p, _ in overfull]))
-        counts = {r["p"]: r["n"] for r in among.groupBy(prefix(finer).alias("p")).agg(F.count("*").alias("n")).collect()}
-        todo, overfull = [(p, d, [(q, n) for q, n in counts.items() if q >> PASS_BITS == p]) for p, d in overfull], []
+    total = entries.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, total / capacity)))) + 2)
+    fixed, overfull, among, before = [], [(0, 0)], entries, 0
+    while overfull:
+        if before:
+            table = entries.sparkSession.createDataFrame([(p,) for p, _ in overfull], "p long")
+            among = entries.withColumn("p", prefix(before)).join(F.broadcast(table), "p")
+        seen = among.groupBy(prefix(depth).alias("p")).agg(F.count("*").alias("n"), (F.min("key") == F.max("key")).alias("sole")).orderBy("p").toArrow()
+        leaf, sole = seen.column("p").to_numpy(), seen.column("sole").to_numpy()
+        upto = np.concatenate([[0], np.cumsum(seen.column("n").to_numpy())])
+        todo, overfull = overfull, []
         while todo:
-            p, d, held = todo.pop()
-            if sum(n for _, n in held) <= capacity:
+            p, d = todo.pop()
+            low, high = np.searchsorted(leaf, [p << (depth - d), (p + 1) << (depth - d)]).tolist()
+            if upto[high] - upto[low] <= capacity or (high - low == 1 and sole[low]):
                 fixed.append((p, d))
-            elif d == finer:
+            elif d == depth:
                 overfull.append((p, d))
             else:
-                for side in (2 * p, 2 * p + 1):
-                    todo.append((side, d + 1, [(q, n) for q, n in held if q >> (finer - d - 1) == side]))
-        depth = finer
-    buckets = sorted(fixed + overfull)
-    return max(d for _, d in buckets), buckets
+                todo += [(2 * p, d + 1), (2 * p + 1, d + 1)]
+        before, depth = depth, min(depth + PASS_BITS, 63)
+        if before == depth:
+            fixed += overfull
+            break
+    return sorted(fixed, key=lambda b: b[0] << (64 - b[1]))
 
 
 def index(entries: DataFrame, folder: str, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """Writes the entries as bucket files below the shared folder and returns them."""
-    depth, buckets = directory(entries, capacity)
-    slots = [((p << (depth - d)) + i, b) for b, (p, d) in enumerate(buckets) for i in range(1 << (depth - d))]
-    table = entries.sparkSession.createDataFrame(slots, "slot long, bucket int")
-    placed = entries.withColumn("slot", prefix(depth)).join(table, "slot").drop("slot")
-    path = f"{folder}/index"
-    placed.repartitionByRange("key").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return entries.sparkSession.read.schema("key long, entry long, doc_id long, n long, bucket int").parquet(path)
+    """Writes the entries below the shared folder, bucket by bucket in files of whole ranges, and returns them."""
+    starts = np.array([p << (64 - d) for p, d in directory(entries, capacity)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = np.searchsorted(starts, batch.column("key").to_numpy().view(np.uint64), side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket.astype(np.int32))], [*batch.schema.names, "bucket"])
+
+    placed = shared.mapped(entries, run, "key long, entry long, doc_id long, n long, bucket int")
+    return shared.written(placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), folder, "index")
 
 
 def chains(crowded: DataFrame) -> DataFrame:

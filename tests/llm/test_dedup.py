@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -54,13 +55,19 @@ def test_exact_dedup(docs, by_id):
 
 
 def test_directory_splits_until_buckets_fit(spark):
-    rows = [((k << 55) - (1 << 63), k) for k in range(500)] + [(12345, k) for k in range(40)]
-    entries = spark.createDataFrame(rows, "key long, entry long")
-    depth, buckets = exactdedup.directory(entries, capacity=8)
-    assert sum(2.0**-d for _, d in buckets) == 1.0 and depth >= 6
-    sizes = Counter(next(b for b, (p, d) in enumerate(buckets) if (k % (1 << 64)) >> (64 - d) == p) for k, _ in rows)
-    over = [n for n in sizes.values() if n > 8]
-    assert len(over) <= 1 and all(n >= 40 for n in over)  # the one key that no bit divides
+    hot = 12345
+    rows = [((k << 55) - (1 << 63), k) for k in range(500)] + [(hot, k) for k in range(40)] + [(hot + k % 2 + 2, k) for k in range(60)]
+    buckets = exactdedup.directory(spark.createDataFrame(rows, "key long, entry long"), capacity=8)
+    starts = [p << (64 - d) for p, d in buckets]
+    assert sum(2.0**-d for _, d in buckets) == 1.0 and starts == sorted(starts) and starts[0] == 0
+    held = Counter()
+    keys = {}
+    for key, _ in rows:
+        b = bisect_right(starts, key % 2**64) - 1
+        held[b] += 1
+        keys.setdefault(b, set()).add(key)
+    assert all(n <= 8 or len(keys[b]) == 1 for b, n in held.items()) and max(d for _, d in buckets) >= 62
+    assert exactdedup.directory(spark.createDataFrame([], "key long, entry long")) == [(0, 0)]
 
 
 def test_chains_tell_colliding_texts_apart(spark):
