@@ -156,12 +156,18 @@ def single_windows(hot: DataFrame, length: int) -> DataFrame:
 
 def resolved_hot(found: DataFrame, folder: str, length: int) -> DataFrame:
     """As ``resolved`` for anchors of any number of rows: sums and joins that need no group whole."""
-    kinds = found.groupBy("anchor", "hash").agg(F.min("doc_id").alias("doc_id"))
+    kinds = found.groupBy("anchor", "hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    kinds = shared.written(kinds, folder, "kinds")
     words = found.where("bytes is not null").select("anchor", "hash", "windows", "bytes").dropDuplicates(["anchor", "hash"])
     single = shared.written(single_windows(words.join(kinds.hint("merge"), ["anchor", "hash"]), length), folder, "single")
     lows = single.groupBy("window").agg(F.min("doc_id").alias("low"))
     lone = single.join(lows.hint("merge"), "window").groupBy("anchor", "hash").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("lows"))
-    rows = found.select("anchor", "hash", "doc_id", "first").join(lone.hint("merge"), ["anchor", "hash"])
+    # Surroundings with over a 256th of all rows are 256 at most: broadcast, so that no task gets all rows of one.
+    many = F.col("n") > max(found.count() // 256, 1000)
+    lone = lone.join(kinds.select("anchor", "hash", "n").hint("merge"), ["anchor", "hash"])
+    met = found.select("anchor", "hash", "doc_id", "first").join(F.broadcast(lone.where(many).drop("n")), ["anchor", "hash"], "left")
+    rest = met.where("lows is null").drop("lows").join(lone.where(~many).drop("n").hint("merge"), ["anchor", "hash"])
+    rows = met.where("lows is not null").unionByName(rest)
     starts = F.filter(F.transform("lows", lambda x: F.when(x["low"] < F.col("doc_id"), F.col("first") + x["at"])), lambda x: x.isNotNull())
     return rows.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0)
 
