@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text handled at once by a Python worker; bounds its memory whatever the batch size.
 CHUNK_BYTES = 1 << 20
@@ -23,10 +24,13 @@ FILTER_BITS = 24
 def work_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (local tests) a temporary folder takes its place.
+    Only in a local session without that setting a temporary folder takes its place; a cluster
+    without it has no folder that all could read, which is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
@@ -146,18 +150,34 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of the tables is called so in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def flagged(rows: DataFrame, wanted: DataFrame, key: str, bits: int, how: str) -> tuple[DataFrame, Column]:
+    """The rows with two more columns, and whether their ``key`` may be among those of ``wanted``.
+
+    A bit table of 2 ** (bits - 6) rows at most, whatever the input, is broadcast.
+    """
+    word, held = unused("filter_word", rows), unused("filter_set", rows)
+    hashed = F.xxhash64(F.col(key))
+    place = f"cast(shiftrightunsigned(xxhash64(`{key}`), {64 - bits}) & 63 AS int)"
+    table = wanted.groupBy(F.shiftrightunsigned(hashed, 70 - bits).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, {place})")).alias(held))
+    met = rows.withColumn(word, F.shiftrightunsigned(hashed, 70 - bits)).join(F.broadcast(table), word, how)
+    return met, F.coalesce(F.expr(f"(shiftrightunsigned({held}, {place}) & 1) = 1"), F.lit(False))
+
+
 def perhaps(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     """The rows whose ``key`` may be among those of ``wanted``, by a bit table of fixed size.
 
-    The table has 2 ** (bits - 6) rows at most whatever the input, so it is broadcast; a full
-    one lets more rows pass and loses none.  A join on the key itself has to follow.
+    A full table lets more rows pass and loses none.  A join on the key itself has to follow.
     """
-    hashed = F.xxhash64(F.col(key))
-    word = F.shiftrightunsigned(hashed, 70 - bits)
-    bit = f"cast(shiftrightunsigned(xxhash64({key}), {64 - bits}) & 63 AS int)"
-    table = wanted.groupBy(word.alias("filter_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("filter_set"))
-    hit = F.expr(f"(shiftrightunsigned(filter_set, {bit}) & 1) = 1")
-    return rows.withColumn("filter_word", word).join(F.broadcast(table), "filter_word").where(hit).drop("filter_word", "filter_set")
+    met, hit = flagged(rows, wanted, key, bits, "inner")
+    return met.where(hit).select(*named(rows))
 
 
 def without(rows: DataFrame, unwanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
@@ -165,22 +185,38 @@ def without(rows: DataFrame, unwanted: DataFrame, key: str, bits: int = FILTER_B
 
     Rows that a bit table of fixed size clears are not shuffled; the rest are anti-joined.
     """
-    hashed = F.xxhash64(F.col(key))
-    bit = f"cast(shiftrightunsigned(xxhash64({key}), {64 - bits}) & 63 AS int)"
-    word = F.shiftrightunsigned(hashed, 70 - bits)
-    table = unwanted.groupBy(word.alias("filter_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("filter_set"))
-    flagged = rows.withColumn("filter_word", word).join(F.broadcast(table), "filter_word", "left")
-    hit = F.coalesce(F.expr(f"(shiftrightunsigned(filter_set, {bit}) & 1) = 1"), F.lit(False))
-    clear = flagged.where(~hit).select(*rows.columns)
-    return clear.unionByName(flagged.where(hit).select(*rows.columns).join(unwanted.select(key).hint("merge"), key, "left_anti").select(*rows.columns))
+    met, hit = flagged(rows, unwanted, key, bits, "left")
+    some = met.where(hit).select(*named(rows))
+    return met.where(~hit).select(*named(rows)).unionByName(some.join(unwanted.select(key).hint("merge"), key, "left_anti").select(*named(rows)))
+
+
+def named(rows: DataFrame) -> list[Column]:
+    """All columns of a table, by names that may hold dots."""
+    return [F.col(f"`{c}`") for c in rows.columns]
+
+
+def rows_mapped(rows: DataFrame, function: Callable, schema: StructType) -> DataFrame:
+    """Whole rows through an Arrow function that keeps all columns of ``schema``, the first of ``rows``.
+
+    ``mapInArrow`` can't take names with dots, so such columns go by other names meanwhile.
+    """
+    plain = [c if c.isidentifier() else unused(f"column_{i}", rows) for i, c in enumerate(rows.columns)]
+    kept = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, schema, strict=False)])
+    return rows.toDF(*plain).mapInArrow(function, kept).toDF(*schema.names)
 
 
 def one_row(docs: DataFrame) -> DataFrame:
-    """Whole rows, of those that repeat a doc_id the smallest; not shuffled where none does."""
+    """Whole rows, of those that repeat a doc_id the one with the smallest text; not shuffled where none does.
+
+    Equal texts go by the other columns as JSON, so columns of any type may be there.
+    """
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return docs
-    rows = docs.select("doc_id", F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row"))
-    return rows.groupBy("doc_id").agg(F.min("row").alias("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("text"), F.to_json(F.struct(*others)) if others else F.lit(""))
+    rows = docs.select("doc_id", F.struct(*named(docs)).alias("row"), order.alias("order"))
+    rows = rows.groupBy("doc_id").agg(F.min_by("row", "order").alias("row"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def one_each(docs: DataFrame) -> DataFrame:
@@ -194,39 +230,52 @@ def one_each(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def components(edges: DataFrame, folder: str, name: str, rounds: int = 40) -> DataFrame:
+def joined_lows(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """``rows (a, b)`` with the ``m`` that ``low (a, m, n)`` has for ``a``; ``n`` counts the rows of ``a``.
+
+    Nodes with over a 256th of all rows are 256 at most: theirs are broadcast, so that no task
+    gets all rows of one of them.
+    """
+    many = F.col("n") > max(total // 256, 10_000)
+    hubs = F.broadcast(low.where(many).select("a", F.col("m").alias("hub")))
+    met = rows.join(hubs, "a", "left")
+    rest = met.where("hub is null").select("a", "b").join(low.where(~many).select("a", "m"), "a")
+    return met.where("hub is not null").select("a", "b", F.col("hub").alias("m")).unionByName(rest)
+
+
+def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """Connected components of an undirected edge table ``(a, b)`` of longs.
 
     Alternates large-star and small-star steps, each a shuffle on a node whose rows are
-    summed up map-side first, so a hub's neighbours never meet in one task.  Returns
-    ``(node, component)`` for every node on an edge; ``component`` is the smallest node
-    reachable.  Stops when a round changes nothing; raises if ``rounds`` don't suffice.
+    summed up map-side first; what a hub's neighbours need to know of it is broadcast, so they
+    never meet in one task.  Returns ``(node, component)`` for every node on an edge;
+    ``component`` is the smallest node reachable.  Stops when a round changes nothing, which
+    takes at most the square of the logarithm of the nodes.
     """
     spark = edges.sparkSession
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        folder,
-        f"{name}-0",
-    )
-    state = None
-    for i in range(1, rounds + 1):
+
+    def size(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = written(now, folder, f"{name}-0")
+    state, i = size(now), 0
+    while True:
+        i += 1
         # Large star: each larger neighbour hooks to the smallest of the node and its neighbours.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined_lows(both, low, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # Small star: each smaller neighbour, and the node, hook to the smallest one.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
-        after = written(small.distinct(), folder, f"{name}-{i}")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined_lows(large, low, state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
+        now = written(small.distinct(), folder, f"{name}-{i}")
         drop(spark, folder, f"{name}-{i - 1}")
-        now = after
-        if state == tuple(seen):
+        before, state = state, size(now)
+        if state == before:
             lows = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(lows)
-        state = tuple(seen)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def hexed(column: Column) -> Column:

@@ -412,15 +412,15 @@ def rewritten(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     folder = shared.work_folder(docs.sparkSession)
     _, spans = repeats(docs, folder, length, gram)
     same = shared.without(docs, spans, "doc_id")
-    some = shared.perhaps(docs, spans.select("doc_id"), "doc_id").join(spans.withColumnRenamed("spans", "cut_spans").hint("merge"), "doc_id")
+    cuts = shared.unused("cut_spans", docs)
+    some = shared.perhaps(docs, spans.select("doc_id"), "doc_id").join(spans.withColumnRenamed("spans", cuts).hint("merge"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [kept_bytes((t or "").encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("cut_spans").to_pylist(), strict=True)]
-            columns = {name: batch.column(name) for name in names} | {"text": pa.array(text, pa.string())}
+            text = [kept_bytes((t or "").encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column(cuts).to_pylist(), strict=True)]
+            columns = {name: batch.column(name) for name in batch.schema.names if name != cuts} | {"text": pa.array(text, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) for t in text], pa.int64()).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    names = docs.columns
-    return same.unionByName(some.select(*names, "cut_spans").mapInArrow(run, docs.schema))
+    return same.unionByName(shared.rows_mapped(some.select(*shared.named(docs), cuts), run, docs.schema))

@@ -172,4 +172,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
                 first = part.column("row")[0].as_py()
                 yield batch.slice(first, part.num_rows).filter(pa.array(scored_chunk(part, "text", model, table) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.rows_mapped(docs, run, docs.schema)

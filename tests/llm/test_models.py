@@ -2,6 +2,8 @@
 
 import random
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -90,21 +92,28 @@ def test_packing_fills_without_gaps(spark):
     assert packing.packed(docs.limit(0), queries.vocabulary("word_bpe_49k.json")).count() == 0
 
 
-def test_sweeps_place_every_piece_once():
-    rng = random.Random(8)
-    for _ in range(30):
-        counts = {rng.randint(1, 64): rng.randint(1, 40) for _ in range(12)}
-        plan = packing.sweeps(counts, 64)
-        used, placed = {}, 0
-        for row, (length, rank, first, offset) in enumerate(plan.tolist()):
-            after = plan[row + 1][1] if row + 1 < len(plan) and plan[row + 1][0] == length else counts[length]
-            for k in range(after - rank):
-                used.setdefault(first + k, []).append((offset, length))
-                placed += 1
-        assert placed == sum(counts.values())
-        for held in used.values():
-            held.sort()
-            assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:], strict=False)) and held[0][0] == 0 and sum(held[-1]) <= 64
+def best_fit_decreasing(lengths, size):
+    """One piece after another, by brute force: how many sequences."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, length)
+        insort(gaps, (gaps.pop(at) if at < len(gaps) else size) - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("low, high, size, n", [(1, 64, 64, 200), (16, 39, 64, 2000), (1000, 2500, 4096, 5000), (1300, 1500, 4096, 5000), (1, 4096, 4096, 5000), (3, 3, 64, 100)])
+def test_sweeps_are_best_fit_decreasing_and_place_every_piece_once(low, high, size, n):
+    lengths = np.random.default_rng(8).integers(low, high + 1, n)
+    counts = Counter(lengths.tolist())
+    plan = packing.sweeps(counts, size)
+    length = np.repeat(*np.array(sorted(counts.items())).T)
+    rank = np.concatenate([np.arange(c) for _, c in sorted(counts.items())])
+    sequence, offset = packing.placed(plan, length, rank)
+    order = np.lexsort((offset, sequence))
+    sequence, offset, length = sequence[order], offset[order], length[order]
+    first = np.append(True, sequence[1:] != sequence[:-1])
+    assert (offset[first] == 0).all() and (offset[1:] == (offset + length)[:-1])[~first[1:]].all() and (offset + length).max() <= size
+    assert len(set(sequence.tolist())) == best_fit_decreasing(lengths.tolist(), size)
 
 
 def record(spark, rows):
