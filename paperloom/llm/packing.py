@@ -35,8 +35,20 @@ from . import shared
 
 SIZE = 4096
 END_ID = 1
-#: Distinct words whose ids a worker remembers.
+#: Distinct words whose ids a task remembers, and how many are encoded as one line.
 WORDS_HELD = 400_000
+LINE_WORDS = 64
+
+
+@cache
+def tokenizer_of(path: str):
+    """One tokenizer a worker."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class WordIds:
@@ -47,12 +59,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         self.clear()
 
     def clear(self) -> None:
@@ -61,10 +68,19 @@ class WordIds:
         self.start = np.zeros(1, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        """Encodes words some at a time, as a line; where a token begins tells whose it is."""
+        spelled = [w.decode() for w in words]
+        lines = self.tokenizer.encode_batch([" ".join(spelled[i : i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in lines), np.uint32)
+        count = np.fromiter((len(e.ids) for e in lines), np.int64, len(lines))
+        begins = np.fromiter((o[0] for e in lines for o in e.offsets), np.int64, len(ids))
+        # Places in all lines one after another, a place between each two.
+        length = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
+        first = np.cumsum(length) - length
+        begins += np.repeat(first[::LINE_WORDS], count)
+        sizes = np.bincount(np.searchsorted(first, begins, side="right") - 1, minlength=len(words))
         self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum())])
+        self.ids = np.concatenate([self.ids, ids])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +103,6 @@ class WordIds:
         return ids, np.diff(before)
 
 
-@cache
-def coder_of(path: str) -> WordIds:
-    """One coder a worker, which keeps its words from task to task."""
-    return WordIds(path)
-
-
 #: ASCII letters, other signs of ASCII, and bytes in lower case.
 LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 SIGN = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
@@ -125,7 +135,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, k
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, made = coder_of(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        coder, part, made = WordIds(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in shared.chunks(batches, most=2 << 20):
             ids, counts = coder.encode(*shared.text_buffers(batch.column("text")))
             out = np.full(len(ids) + len(counts), end_id, "<u4")
@@ -212,7 +222,7 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, k
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = held.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
     # As many rows as tasks and lengths make, which grows with the data: never broadcast.
-    ranked = cut.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
+    ranked = cut.join(base.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
     more = ", ids array<int>" * keep_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
