@@ -36,6 +36,8 @@ LENGTH = 200
 GRAM = 48
 #: Different surroundings of an anchor that one task sorts; more are dealt out by window.
 HOT_ANCHOR = 20_000
+#: Documents rewritten at once.
+ROWS_AT_ONCE = 250
 #: Bytes that one suffix array covers.
 SORT_BYTES = 1 << 16
 
@@ -416,7 +418,7 @@ def rewritten(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     some = shared.perhaps(docs, spans.select("doc_id"), "doc_id").join(spans.withColumnRenamed("spans", cuts).hint("merge"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             text = [kept_bytes((t or "").encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column(cuts).to_pylist(), strict=True)]
             columns = {name: batch.column(name) for name in batch.schema.names if name != cuts} | {"text": pa.array(text, pa.string())}
             if "n_chars" in columns:
