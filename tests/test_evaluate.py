@@ -66,7 +66,9 @@ def test_comparison_verdicts(spark):
     found = {r.k: r.verdict for r in evaluate.compared(base, new, {"quality": 0.0, "cost": 0.0}, "k").collect()}
     assert found == {"a": "candidate_dominates", "b": "tradeoff", "c": "indeterminate", "d": "equal", "e": "baseline_dominates"}
     lost = spark.createDataFrame([("a",)], "k string")
-    assert evaluate.compared(base, new, {"quality": 0.0}, "k", lost).where("k = 'a'").head().verdict == "tradeoff"
+    assert evaluate.compared(base, new, {"quality": 0.0}, "k", lost).where("k = 'a'").head().verdict == "tradeoff"  # better, but a success is left out
+    equal = spark.createDataFrame([("e", 0.5)], "k string, quality double")
+    assert evaluate.compared(equal, equal, {"quality": 0.0}, "k", equal).head().verdict == "baseline_dominates"
 
 
 def test_held_out_truth_makes_no_predictions(spark):
