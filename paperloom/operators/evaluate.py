@@ -94,10 +94,10 @@ def region_pairs(truth: DataFrame, predicted: DataFrame, thresholds: DataFrame,
     p = predicted.select(F.col(key).alias("p_key"), F.col("idx").alias("pred_idx"), *corners("p"))
     width = F.least("t_x2", "p_x2") - F.greatest("t_x1", "p_x1")
     height = F.least("t_y2", "p_y2") - F.greatest("t_y1", "p_y1")
-    meet = (F.col(key) == F.col("p_key")) & (width > 0) & (height > 0)
-    pairs = t.join(p, meet).withColumn("common", width * height)
-    iou = F.col("common") / (F.col("t_area") + F.col("p_area") - F.col("common"))
-    return pairs.select(key, "truth_idx", "pred_idx", "kind", iou.alias("iou"), "threshold").where("iou >= threshold").drop("threshold")
+    common, area = width * height, F.col("t_area") + F.col("p_area")
+    near = (width > 0) & (height > 0) & (common >= F.col("threshold") * (area - common) * (1 - 1e-12))
+    pairs = t.join(p, (F.col(key) == F.col("p_key")) & near).withColumn("iou", F.try_divide(common, area - common))
+    return pairs.where("iou >= threshold").select(key, "truth_idx", "pred_idx", "kind", "iou")
 
 
 def assignment(pairs: DataFrame, key: str = "case_id") -> DataFrame:

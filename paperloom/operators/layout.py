@@ -9,20 +9,24 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .survey import HEIGHT, WIDTH
 
 
-def text_blocks(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``ordinal, kind, text`` of each block of a page.
+def cut(pages: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Column]:
+    """Pages with what is needed to cut them, and the array of a page's block texts.
+
+    The array is an expression, not a column: of a column that is exploded the optimiser infers
+    that it isn't empty, and would cut pages once more to filter by that.
 
     Blank lines end a block; headings and list items are blocks of their own; a sentence's end
     at a line's end ends one.  Lines join with a space, unless a line ends in a hyphen.
     """
-    rows = pages.select(key, F.transform(F.split("text", r"\r?\n"), text.trimmed).alias("lines"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), text.trimmed)
+    rows = pages.select(key, lines.alias("lines"))
     kind = lambda x: F.when(x == "", "b").when(text.is_heading(x), "h").when(text.is_list_item(x), "i").otherwise("t")
     rows = rows.select(key, F.transform("lines", lambda x: F.struct(x.alias("line"), kind(x).alias("kind"))).alias("lines"))
 
@@ -35,15 +39,28 @@ def text_blocks(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.select(key, F.filter(F.transform("lines", joint), lambda x: x["kind"] != "b").alias("parts"))
     starts = F.filter(F.transform("parts", lambda x, i: F.when(x["starts"], i)), lambda i: i.isNotNull())
     rows = rows.select(key, F.transform("parts", lambda x: x["piece"]).alias("pieces"), starts.alias("starts"))
-    blocks = F.transform("starts", lambda s, k: F.array_join(F.slice("pieces", s + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size("pieces")) - s), ""))
-    rows = rows.select(key, F.posexplode(blocks).alias("ordinal", "text"))
+    texts = F.transform("starts", lambda s, k: F.array_join(F.slice("pieces", s + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size("pieces")) - s), ""))
+    return rows, texts
+
+
+def block_arrays(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``blocks``, an array of ``kind, text``, of each page; an empty one for a page without text."""
+    rows, texts = cut(pages, key)
+    return rows.select(key, F.transform(texts, lambda t: F.struct(text.block_kind(t).alias("kind"), t.alias("text"))).alias("blocks"))
+
+
+def text_blocks(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``ordinal, kind, text`` of each block of a page, a row each."""
+    rows, texts = cut(pages, key)
+    rows = rows.select(key, F.posexplode(texts).alias("ordinal", "text"))
     return rows.select(key, "ordinal", text.block_kind(F.col("text")).alias("kind"), "text")
 
 
-def band_geometry(blocks: DataFrame, key: str = "doc_id", width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
-    """Full-width bands of equal height, the last reaching the page's end."""
-    page = Window.partitionBy(key)
-    rows = blocks.withColumn("n", F.count("*").over(page))
+def band_geometry(arrays: DataFrame, key: str = "doc_id", width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
+    """Full-width bands of equal height for the blocks of ``block_arrays``, the last reaching the page's end."""
+    # Bound to a name first, or the optimiser would cut a page into blocks once for each block.
+    sized = F.transform(F.array("blocks"), lambda bs: F.transform(bs, lambda b: F.struct(b["kind"].alias("kind"), F.size(bs).alias("n"))))[0]
+    rows = arrays.select(key, F.posexplode(sized).alias("ordinal", "b")).select(key, "ordinal", "b.kind", "b.n")
     y = F.col("ordinal") * (F.lit(height) / F.col("n"))
     tall = F.when(F.col("ordinal") == F.col("n") - 1, F.lit(height) - y).otherwise(F.lit(height) / F.col("n"))
     return rows.select(key, "ordinal", "kind", F.lit(0.0).alias("x"), y.alias("y"), F.lit(width).alias("width"), tall.alias("height"))

@@ -8,42 +8,56 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def squeezed(value: Column) -> Column:
-    return F.regexp_replace(text.trimmed(F.coalesce(value, F.lit(""))), r"(?U)\s+", " ")
-
-
 def covers(ocr: Column, native: Column) -> Column:
     """Recognised text that holds all the native text."""
     return (native != "") & F.contains(ocr, native)
 
 
 def selected(native: DataFrame, recognised: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a page: which text is shown, why, and whether the two disagree.
+    """One row a page: which stages' texts are selected, why, and whether they disagree.
 
-    Nothing is overwritten: both texts stay evidence, the choice refers to one.
+    Native text of quality stands alone.  Else whatever was recognised is selected as well, and
+    native text beside it unless the recognised one covers it.  Nothing is overwritten: both
+    stay evidence, the choice refers to them.
     """
-    n = native.select(key, squeezed(F.col("text")).alias("native"))
-    o = recognised.select(key, squeezed(F.col("text")).alias("ocr"))
+    n = native.select(key, text.normalized_native_text(F.coalesce("text", F.lit(""))).alias("native"))
+    o = recognised.select(key, F.coalesce("text", F.lit("")).alias("ocr"))
     rows = n.join(o, key, "full_outer").select(key, F.coalesce("native", F.lit("")).alias("native"), F.coalesce("ocr", F.lit("")).alias("ocr"))
-    enough = text.quality_characters(F.col("native")) >= text.ENOUGH_CHARACTERS
-    reason = (
-        F.when((F.col("native") == "") & (F.col("ocr") == ""), "nothing_found")
-        .when(F.col("ocr") == "", "only_hypothesis")
-        .when(F.col("native") == "", "only_hypothesis")
-        .when(F.col("native") == F.col("ocr"), "agreement")
-        .when(enough, "native_preferred")
-        .when(covers(F.col("ocr"), F.col("native")), "ocr_covers_native")
-        .otherwise("native_preferred")
-    )
-    rows = rows.withColumn("reason", reason)
-    stage = F.when(F.col("reason") == "nothing_found", None).when((F.col("native") == "") | (F.col("reason") == "ocr_covers_native"), "ocr").otherwise("native")
-    disagree = (F.col("native") != "") & (F.col("ocr") != "") & (F.col("native") != F.col("ocr"))
-    return rows.select(key, stage.alias("selected_stage"), "reason", disagree.alias("disagree"), F.when(stage == "ocr", F.col("ocr")).when(stage == "native", F.col("native")).alias("text"))
+    n, o = F.col("native"), F.col("ocr")
+    enough, read = text.quality_characters(n) >= text.ENOUGH_CHARACTERS, o != ""
+    stages = F.when(enough, F.array(F.lit("native"))).otherwise(F.array_compact(F.array(F.when((n != "") & ~covers(o, n), F.lit("native")), F.when(read, F.lit("ocr")))))
+    reason = F.when(enough, "native_quality").when((n == "") & read, "native_absent").when(n != "", "reconciled")
+    disagree = (n != "") & (text.trimmed(o) != "") & (n != text.trimmed(o))
+    shown = F.array_join(F.transform(stages, lambda s: F.when(s == "native", n).otherwise(o)), "\n")
+    return rows.select(key, F.array_join(stages, "+").alias("selected_stages"), reason.alias("reason"), disagree.alias("disagree"), F.when(F.size(stages) > 0, shown).alias("text"))
 
 
 def summary(view: DataFrame, bytes_column: str = "text") -> DataFrame:
     """Pages by stage, how many show text, and bytes a page; a ratio of nothing is null."""
     n = F.count("*")
+    has = lambda stage: F.count_if(F.col("selected_stages").contains(stage))
     return view.agg(
-        n.alias("pages"), F.count_if(F.col("selected_stage").isNotNull()).alias("nonblank"), F.count_if(F.col("selected_stage") == "ocr").alias("ocr"), F.count_if(F.col("selected_stage") == "native").alias("native"), F.count_if("disagree").alias("disagreeing"), F.try_divide(F.sum(F.octet_length(bytes_column)), n).alias("bytes_per_page")
+        n.alias("pages"),
+        F.count_if(F.col("selected_stages") != "").alias("nonblank"),
+        has("ocr").alias("ocr"),
+        has("native").alias("native"),
+        F.count_if(text.trimmed(F.coalesce("text", F.lit(""))) != "").alias("searchable"),
+        F.count_if("disagree").alias("disagreeing"),
+        F.try_divide(F.sum(F.octet_length(bytes_column)), n).alias("bytes_per_page"),
     )
+
+
+CAPABILITIES = {"text_extract": "native", "ocr_page": "ocr", "layout_detect": "region", "reading_order_detect": "region"}
+
+
+def coverage(pages: DataFrame, document: str = "document") -> DataFrame:
+    """What is complete of each document, and what a candidate for work, by capability.
+
+    ``pages``: document, page_id, has_native, has_ocr, has_region, blank.  A page proven blank
+    is complete in all.  The document itself is open, a row without pages.
+    """
+    done = F.array(*[F.struct(F.lit(c).alias("capability"), (F.col(f"has_{has}") | F.col("blank")).alias("complete")) for c, has in CAPABILITIES.items()])
+    rows = pages.select(document, "page_id", F.explode(done).alias("c")).select(document, "page_id", "c.*")
+    found = rows.groupBy(document, "capability", F.when(F.col("complete"), "complete").otherwise("candidate").alias("status")).agg(F.array_join(F.array_sort(F.collect_list("page_id")), ",").alias("page_ids"))
+    opened = pages.select(document).distinct().select(document, F.lit("document_open").alias("capability"), F.lit("complete").alias("status"), F.lit("").alias("page_ids"))
+    return opened.unionByName(found)

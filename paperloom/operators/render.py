@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
-def _ordered(blocks: DataFrame, key: str, shown) -> DataFrame:
-    """Blocks of a page in order; a page that has none is left out."""
-    gathered = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", shown.alias("shown")))).alias("b"))
-    return gathered.select(key, F.transform("b", lambda x: x["shown"]).alias("shown"))
+def markdown(arrays: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages of ``layout.block_arrays`` as Markdown; one without blocks is a line feed."""
 
+    def shown(b: Column) -> Column:
+        body = text.trimmed(b["text"])
+        code = F.concat(F.lit("```text\n"), F.regexp_replace(b["text"], r"\s+$", ""), F.lit("\n```"))
+        return F.when(b["kind"] == "heading", F.concat(F.lit("# "), body)).when(b["kind"] == "list_item", F.concat(F.lit("- "), body)).when(b["kind"] == "code", code).otherwise(body)
 
-def markdown(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    body = text.trimmed(F.col("text"))
-    code = F.concat(F.lit("```text\n"), F.regexp_replace("text", r"\s+$", ""), F.lit("\n```"))
-    shown = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), body)).when(F.col("kind") == "list_item", F.concat(F.lit("- "), body)).when(F.col("kind") == "code", code).otherwise(body)
-    return _ordered(blocks, key, shown).select(key, F.concat(F.regexp_replace(F.array_join("shown", "\n\n"), r"\s+$", ""), F.lit("\n")).alias("markdown"))
+    return arrays.select(key, F.concat(F.regexp_replace(F.array_join(F.transform("blocks", shown), "\n\n"), r"\s+$", ""), F.lit("\n")).alias("markdown"))
 
 
-def html(blocks: DataFrame, key: str = "doc_id", page: int = 0) -> DataFrame:
-    body = text.escaped_html(F.col("text"))
-    wrap = lambda a, b: F.concat(F.lit(a), body, F.lit(b + "\n"))
-    shown = F.when(F.col("kind") == "heading", wrap("<h1>", "</h1>")).when(F.col("kind") == "list_item", wrap("<li>", "</li>")).when(F.col("kind") == "code", wrap("<pre><code>", "</code></pre>")).otherwise(wrap("<p>", "</p>"))
+def html(arrays: DataFrame, key: str = "doc_id", page: int = 0) -> DataFrame:
+    """Pages of ``layout.block_arrays`` as HTML; one without blocks is an empty section."""
+
+    def shown(b: Column) -> Column:
+        body = text.escaped_html(b["text"])
+        wrap = lambda x, y: F.concat(F.lit(x), body, F.lit(y + "\n"))
+        return F.when(b["kind"] == "heading", wrap("<h1>", "</h1>")).when(b["kind"] == "list_item", wrap("<li>", "</li>")).when(b["kind"] == "code", wrap("<pre><code>", "</code></pre>")).otherwise(wrap("<p>", "</p>"))
+
     head, tail = f'<!doctype html>\n<html><body>\n<section data-page="{page + 1}">\n', "</section>\n</body></html>\n"
-    return _ordered(blocks, key, shown).select(key, F.concat(F.lit(head), F.array_join("shown", ""), F.lit(tail)).alias("html"))
+    return arrays.select(key, F.concat(F.lit(head), F.array_join(F.transform("blocks", shown), ""), F.lit(tail)).alias("html"))
 
 
 def joined_pages(pages: DataFrame, key: str, index: str, column: str) -> DataFrame:
@@ -35,13 +37,14 @@ def joined_pages(pages: DataFrame, key: str, index: str, column: str) -> DataFra
     return gathered.select(key, F.array_join(F.transform("p", lambda x: x[column]), "\n---\n\n").alias("markdown"))
 
 
-def evidence_json(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    gathered = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "text"))).alias("regions"))
-    return gathered.select(key, F.to_json(F.struct(F.col(key), "regions")).alias("json"))
+def evidence_json(arrays: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages as JSON; regions keep their order as ``ordinal``."""
+    regions = F.transform("blocks", lambda b, i: F.struct(i.alias("ordinal"), b["kind"].alias("kind"), b["text"].alias("text")))
+    return arrays.select(key, F.to_json(F.struct(F.col(key), regions.alias("regions"))).alias("json"))
 
 
-def render(blocks: DataFrame, form: str, key: str = "doc_id") -> DataFrame:
+def render(arrays: DataFrame, form: str, key: str = "doc_id") -> DataFrame:
     forms = {"markdown": markdown, "html": html, "evidence_json": evidence_json}
     if form not in forms:
         raise ValueError(f"no such form: {form}")
-    return forms[form](blocks, key)
+    return forms[form](arrays, key)

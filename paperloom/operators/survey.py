@@ -5,8 +5,12 @@ All but the hash sketch are row expressions, so they fuse with the scan and shuf
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,54 +61,83 @@ def needs_ocr(characters: Column, hint: Column, adaptive: bool = True) -> Column
     return characters < text.ENOUGH_CHARACTERS if adaptive else hint != "blank"
 
 
-def page_features(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Features of text-only pages: one row a page."""
-    zero = F.lit(0)
+def page_features(pages: DataFrame, key: str = "doc_id", xobjects: Column | None = None, paths: Column | None = None, text_operators: Column | None = None) -> DataFrame:
+    """One row a page; without counts of its content operators a page has text alone."""
+    counts = {"xobjects": xobjects, "paths": paths, "text_operators": text_operators}
     native = text.normalized_native_text(F.coalesce("text", F.lit("")))
-    rows = pages.select(key, native.alias("native"))
-    rows = rows.select(key, "native", text.quality_characters(F.col("native")).alias("native_characters"))
-    hint = content_hint(F.col("native_characters"), zero, zero, zero)
-    rows = rows.select("*", hint.alias("content_hint"))
+    rows = pages.select(key, native.alias("native"), *[(F.lit(0) if c is None else c).cast("long").alias(n) for n, c in counts.items()])
+    rows = rows.withColumn("native_characters", text.quality_characters(F.col("native")))
+    rows = rows.withColumn("content_hint", content_hint(*[F.col(c) for c in ("native_characters", *counts)]))
+    shown = {"characters": "native_characters"} | {n: n for n in counts if counts[n] is not None}
     return rows.select(
         key,
         "native_characters",
-        density(F.col("native_characters"), F.lit(WIDTH), F.lit(HEIGHT)).alias("characters_per_square_point"),
+        *[density(F.col(c), F.lit(WIDTH), F.lit(HEIGHT)).alias(f"{n}_per_square_point") for n, c in shown.items()],
         "content_hint",
         F.col("content_hint").isin("scanned", "hybrid", "other_content").alias("high_value_candidate"),
         needs_ocr(F.col("native_characters"), F.col("content_hint")).alias("needs_ocr"),
         F.when(F.col("native") != "", F.sha2("native", 256)).alias("native_text_sha256"),
-        F.array_join(candidate_kinds(F.col("native"), zero, zero), ",").alias("candidate_kinds"),
+        F.array_join(candidate_kinds(F.col("native"), F.col("xobjects"), F.col("paths")), ",").alias("candidate_kinds"),
         F.array_join(script_hints(F.col("native")), ",").alias("script_hints"),
     )
 
 
-def stage_plan(features: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The stages of each page's conversion, each selected, rejected or unavailable, and why."""
+def stage_plan(features: DataFrame, key: str = "doc_id", ocr_ready: bool = False, ocr_engine: str = "ocr", adaptive: bool = True, threshold: int = text.ENOUGH_CHARACTERS) -> DataFrame:
+    """The stages of each page's conversion, each selected, rejected or unavailable, and why.
+
+    Native text is extracted from every page and segmented if there is any; recognition is for
+    pages with too little of it, or, in the baseline profile, for all not proven blank.
+    """
     stage = lambda n, name, status, why: F.struct(F.lit(n).alias("ordinal"), F.lit(name).alias("stage"), status.alias("status"), why.alias("reason"))
-    poor = F.col("needs_ocr")
+    n = F.col("native_characters")
+    poor = n < threshold if adaptive else F.col("content_hint") != "blank"
+    wanted = f"native evidence is below the {threshold} character threshold" if adaptive else "baseline profile OCRs every page not proven blank"
+    lacking = f"{wanted}; configured OCR engine is not ready" if adaptive else "baseline profile requires OCR, but the configured engine is not ready"
+    enough = "native evidence meets the configured threshold" if adaptive else "survey deterministically proved the page blank"
     stages = F.array(
-        stage(0, "inspect", F.lit("selected"), F.lit("every page is inspected")),
-        stage(1, "extract_native", F.when(F.col("native_characters") > 0, "selected").otherwise("rejected"), F.when(F.col("native_characters") > 0, "native text is present").otherwise("no native text")),
-        stage(2, "layout", F.when(~poor, "selected").otherwise("rejected"), F.when(~poor, "native text is enough").otherwise("native text is too short")),
-        stage(3, "ocr", F.when(poor, "unavailable").otherwise("rejected"), F.when(poor, "no recognition engine is installed").otherwise("native text is enough")),
+        stage(0, "pdf.inspect", F.lit("selected"), F.lit("bounded parsing is required for this PDF")),
+        stage(1, "native.extract", F.lit("selected"), F.concat(F.lit("recovered "), n.cast("string"), F.lit(" non-whitespace characters"))),
+        stage(2, "layout.rulebased", F.when(n == 0, "rejected").otherwise("selected"), F.when(n == 0, "no native text is available for rule-based segmentation").otherwise("native text will be segmented deterministically")),
+        stage(3, ocr_engine, F.when(~poor, "rejected").otherwise("selected" if ocr_ready else "unavailable"), F.when(~poor, enough).otherwise(wanted if ocr_ready else lacking)),
     )
     return features.select(key, F.explode(stages).alias("s")).select(key, "s.*")
 
 
+TOKEN = re.compile(r"[^\W_]+")
+
+
 def token_simhash(pages: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """A 64-bit sketch: sum of token digests' bits, each token as often as it occurs.
+    """A 64-bit sketch: sum of token digests' bits, each token as often as it occurs; null without tokens.
 
-    Tokens are counted first, so that a page sends each different token once.
+    A page's tokens stay in its row: a batch hashes each different token once and sums votes by
+    page, so nothing is shuffled.
     """
-    tokens = pages.select(key, F.explode(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+")).alias("token")).where("token <> ''")
-    counted = tokens.groupBy(key, "token").agg(F.count("*").alias("n"))
-    half = lambda at: F.conv(F.substring(F.sha2("token", 256), at, 8), 16, 10).cast("long")
-    counted = counted.select(key, "n", half(1).alias("high"), half(9).alias("low"))
-    vote = lambda side, bit: F.sum(F.when(F.shiftright(side, bit).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n")))
-    votes = counted.groupBy(key).agg(*[vote(side, bit).alias(f"{side}{bit}") for side in ("high", "low") for bit in range(32)])
-    side = lambda name: reduce(lambda a, b: a + b, [F.when(F.col(f"{name}{bit}") >= 0, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")) for bit in range(32)])
-    shown = F.concat(*[F.lpad(F.lower(F.hex(side(name))), 8, "0") for name in ("high", "low")])
-    return votes.select(key, shown.alias("simhash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch, slot, owner, which = whole.slice(at, 64), {}, [], []
+                for row, page in enumerate(batch.column(column).to_pylist()):
+                    found = TOKEN.findall((page or "").lower())
+                    which += [slot.setdefault(t, len(slot)) for t in found]
+                    owner.append(len(found))
+                shown: list[str | None] = [None] * batch.num_rows
+                if which:
+                    bits = np.unpackbits(np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest()[:8] for t in slot), np.uint8).reshape(-1, 8), axis=1)
+                    ends = np.cumsum(owner)
+                    for row, (end, n) in enumerate(zip(ends.tolist(), owner, strict=True)):
+                        if n:
+                            ones = bits[which[end - n : end]].sum(axis=0, dtype=np.int64)
+                            shown[row] = np.packbits(2 * ones >= n).tobytes().hex()
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(shown, pa.string())], [key, "simhash"])
+
+    return pages.select(key, column).mapInArrow(run, f"{key} {dict(pages.dtypes)[key]}, simhash string")
+
+
+def merged_scripts(features: DataFrame, by: list[str]) -> DataFrame:
+    """All alphabets of a document's pages, in order of name."""
+    names = features.select(*by, F.explode(F.split("script_hints", ",")).alias("script")).where("script <> ''").distinct()
+    return names.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("script")), ",").alias("script_hints"))
 
 
 def family_features(pages: DataFrame, features: DataFrame, family: str = "source", key: str = "doc_id") -> DataFrame:

@@ -15,18 +15,21 @@ def row_cells(lines: DataFrame, keys: list[str], column: str = "line") -> DataFr
 
     A row has a pipe and at least two cells, none blank but an outermost one of no width.
     """
-    rows = lines.where(F.col(column).contains("|")).select(*keys, F.split(column, r"\|").alias("raw"))
-    # Byte offset of each part: the bytes of those before, and a byte for each pipe.
-    starts = F.transform("raw", lambda x, i: F.aggregate(F.slice("raw", 1, i), F.lit(0), lambda a, p: a + F.octet_length(p) + 1))
-    rows = rows.select(*keys, "raw", starts.alias("starts"))
+    rows = lines.where(F.col(column).contains("|")).select(*keys, F.col(column).alias("whole"), F.split(column, r"\|").alias("raw"))
     n = F.size("raw")
-    parts = F.transform("raw", lambda x, i: F.struct(x.alias("raw"), text.trimmed(x).alias("text"), F.get(F.col("starts"), i).alias("at"), ((i == 0) | (i == n - 1)).alias("outer")))
-    kept = F.filter(parts, lambda p: ~(p["outer"] & (F.octet_length(p["raw"]) == 0)))
-    rows = rows.select(*keys, kept.alias("parts")).where((F.size("parts") >= 2) & (F.size("parts") <= MOST_COLUMNS) & ~F.exists("parts", lambda p: p["text"] == ""))
-    cells = rows.select(*keys, F.posexplode("parts").alias("col", "p"))
-    lead = F.octet_length("p.raw") - F.octet_length(F.regexp_replace("p.raw", r"(?U)^\s+", ""))
-    start = F.col("p.at") + lead
-    return cells.select(*keys, "col", F.col("p.text").alias("text"), start.alias("start"), (start + F.octet_length("p.text")).alias("end"))
+    edge = lambda i: F.when(F.get(F.col("raw"), i) == "", 1).otherwise(0)
+    rows = rows.where(n <= MOST_COLUMNS + 2).select(*keys, "whole", "raw", edge(F.lit(0)).alias("left"), edge(n - 1).alias("right"))
+    rows = rows.where((n - F.col("left") - F.col("right")).between(2, MOST_COLUMNS))
+    # Parts that are blank but for the outermost ones of no width.
+    blank = F.size(F.filter("raw", lambda x: ~x.rlike(r"(?U)\S")))
+    rows = rows.where(blank == F.col("left") + F.col("right"))
+    parts = rows.select(*keys, "whole", "left", "right", n.alias("n"), F.posexplode("raw").alias("i", "raw"))
+    parts = parts.where((F.col("i") >= F.col("left")) & (F.col("i") < F.col("n") - F.col("right")))
+    # The bytes before a part: those up to its pipe, and the pipe.
+    before = F.when(F.col("i") == 0, 0).otherwise(F.octet_length(F.expr("substring_index(whole, '|', i)")) + 1)
+    lead = F.octet_length("raw") - F.octet_length(F.regexp_replace("raw", r"(?U)^\s+", ""))
+    cells = parts.select(*keys, (F.col("i") - F.col("left")).alias("col"), text.trimmed(F.col("raw")).alias("text"), (before + lead).alias("start"))
+    return cells.select(*keys, "col", "text", "start", (F.col("start") + F.octet_length("text")).alias("end"))
 
 
 def tables(sources: DataFrame, key: str, column: str = "text") -> DataFrame:

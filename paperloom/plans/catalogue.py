@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, evaluation, planning
+from . import documents, evaluation, graph, planning
 
-QUERIES = documents.QUERIES | evaluation.QUERIES | planning.QUERIES
-SQL = documents.SQL | evaluation.SQL | planning.SQL
+QUERIES = documents.QUERIES | evaluation.QUERIES | graph.QUERIES | planning.QUERIES
+SQL = documents.SQL | evaluation.SQL | graph.SQL | planning.SQL

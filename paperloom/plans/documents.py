@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity
-from ..operators import layout, render, survey, tables
+from ..functions import identity, text
+from ..operators import layout, reconcile, render, survey, tables
 from .tables import read
 
 NATIVE = "regexp_replace(replace(coalesce(text, ''), chr(0), ''), '^\\s+|\\s+$', '', 'g')"
@@ -52,15 +52,36 @@ def survey_kinds_and_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.page_features(read(spark, sf_dir, "documents")).select("doc_id", "candidate_kinds", "script_hints")
 
 
+#: Counts of content operators by rule: pictures, paths, text operators.
+COUNTS = ("CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 ELSE 0 END", "CASE WHEN doc_id % 4 = 1 THEN doc_id % 90 ELSE 0 END", "doc_id % 5")
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN '' ELSE {NATIVE} END AS native, {COUNTS[0]} AS x, {COUNTS[1]} AS p, {COUNTS[2]} AS t FROM documents), c AS (SELECT *, length(regexp_replace(native, '\\s', '', 'g')) AS n FROM d)
+    SELECT doc_id, n AS native_characters, CASE WHEN n > 0 AND x > 0 THEN 'hybrid' WHEN n > 0 THEN 'born_digital' WHEN x > 0 THEN 'scanned' WHEN p > 0 OR t > 0 THEN 'other_content' ELSE 'blank' END AS content_hint,
+        x > 0 OR (n = 0 AND (p > 0 OR t > 0)) AS high_value_candidate, round(x / (595.0::DOUBLE * 842.0::DOUBLE), 12) AS xobjects_per_square_point, round(p / (595.0::DOUBLE * 842.0::DOUBLE), 12) AS paths_per_square_point,
+        array_to_string(list_filter([CASE WHEN x > 0 THEN 'figure' END, CASE WHEN regexp_matches(native, '[=∑∫√]') THEN 'formula' END, CASE WHEN regexp_matches(native, '[|\\t]') THEN 'table' END, CASE WHEN p > 0 THEN 'vector_graphic' END], lambda x: x IS NOT NULL), ',') AS candidate_kinds FROM c""")
+def survey_content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with pictures and paths, a third of them without native text."""
+    pages = read(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 6 < 2, "").otherwise(F.col("text")))
+    found = survey.page_features(pages, "doc_id", *[F.expr(c) for c in COUNTS])
+    return found.select("doc_id", "native_characters", "content_hint", "high_value_candidate", *[F.round(f"{c}_per_square_point", 12).alias(f"{c}_per_square_point") for c in ("xobjects", "paths")], "candidate_kinds")
+
+
 @query(f"""WITH f AS (SELECT doc_id, {INK} AS n FROM documents), s AS (SELECT doc_id, n, unnest([0, 1, 2, 3]) AS ordinal FROM f)
-    SELECT doc_id, ordinal::INT AS ordinal, ['inspect', 'extract_native', 'layout', 'ocr'][ordinal + 1] AS stage,
-        CASE ordinal WHEN 0 THEN 'selected' WHEN 1 THEN CASE WHEN n > 0 THEN 'selected' ELSE 'rejected' END WHEN 2 THEN CASE WHEN n >= 80 THEN 'selected' ELSE 'rejected' END ELSE CASE WHEN n < 80 THEN 'unavailable' ELSE 'rejected' END END AS status,
-        CASE ordinal WHEN 0 THEN 'every page is inspected' WHEN 1 THEN CASE WHEN n > 0 THEN 'native text is present' ELSE 'no native text' END WHEN 2 THEN CASE WHEN n >= 80 THEN 'native text is enough' ELSE 'native text is too short' END
-            ELSE CASE WHEN n < 80 THEN 'no recognition engine is installed' ELSE 'native text is enough' END END AS reason FROM s""")
+    SELECT doc_id, ordinal::INT AS ordinal, ['pdf.inspect', 'native.extract', 'layout.rulebased', 'ocr'][ordinal + 1] AS stage,
+        CASE WHEN ordinal < 2 THEN 'selected' WHEN ordinal = 2 THEN CASE WHEN n > 0 THEN 'selected' ELSE 'rejected' END ELSE CASE WHEN n < 80 THEN 'unavailable' ELSE 'rejected' END END AS status,
+        CASE ordinal WHEN 0 THEN 'bounded parsing is required for this PDF' WHEN 1 THEN 'recovered ' || n || ' non-whitespace characters' WHEN 2 THEN CASE WHEN n > 0 THEN 'native text will be segmented deterministically' ELSE 'no native text is available for rule-based segmentation' END
+            ELSE CASE WHEN n < 80 THEN 'native evidence is below the 80 character threshold; configured OCR engine is not ready' ELSE 'native evidence meets the configured threshold' END END AS reason FROM s""")
 def page_stage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.stage_plan(survey.page_features(read(spark, sf_dir, "documents")))
 
 
+@query(f"SELECT source, string_agg(DISTINCT CASE WHEN regexp_matches({NATIVE}, '\\p{{L}}') THEN 'latin' END, ',') AS script_hints FROM documents GROUP BY source HAVING count(*) FILTER (WHERE regexp_matches({NATIVE}, '\\p{{L}}')) > 0")
+def family_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "documents")
+    return survey.merged_scripts(pages.select("doc_id", "source").join(survey.page_features(pages).select("doc_id", "script_hints"), "doc_id"), ["source"])
+
+
 @query("SELECT sha256(coalesce(text, '')) AS text_sha256, count(*) AS pages, min(doc_id) AS first_page FROM documents GROUP BY 1 HAVING count(*) > 1")
 def text_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.exact_duplicates(read(spark, sf_dir, "documents"))
@@ -76,7 +97,7 @@ def text_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         + "), 8, '0')"
         for side in ("high", "low")
     )
-    + " AS simhash FROM half GROUP BY doc_id"
+    + " AS simhash FROM half GROUP BY doc_id UNION ALL SELECT doc_id, NULL FROM documents WHERE NOT coalesce(regexp_matches(text, '[\\p{L}\\p{N}]'), false)"
 )
 def text_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.token_simhash(read(spark, sf_dir, "documents"))
@@ -106,7 +127,7 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, ordinal, kind, 0.0::DOUBLE AS x, round(ordinal * (842.0::DOUBLE / n), 6) AS y, 595.0::DOUBLE AS width,
         round(CASE WHEN ordinal = n - 1 THEN 842.0::DOUBLE - ordinal * (842.0::DOUBLE / n) ELSE 842.0::DOUBLE / n END, 6) AS height FROM sized""")
 def layout_block_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = layout.band_geometry(layout.text_blocks(read(spark, sf_dir, "documents")))
+    bands = layout.band_geometry(layout.block_arrays(read(spark, sf_dir, "documents")))
     return bands.withColumn("y", F.round("y", 6)).withColumn("height", F.round("height", 6))
 
 
@@ -134,9 +155,10 @@ def reading_order_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BLOCKS + r""" SELECT doc_id, sha256(regexp_replace(string_agg(CASE kind WHEN 'heading' THEN '# ' WHEN 'list_item' THEN '- ' ELSE '' END || text, e'\n\n' ORDER BY ordinal), '\s+$', '') || e'\n') AS markdown_sha256,
-    strlen(regexp_replace(string_agg(CASE kind WHEN 'heading' THEN '# ' WHEN 'list_item' THEN '- ' ELSE '' END || text, e'\n\n' ORDER BY ordinal), '\s+$', '') || e'\n')::INT AS bytes FROM block GROUP BY doc_id""")
+    strlen(regexp_replace(string_agg(CASE kind WHEN 'heading' THEN '# ' WHEN 'list_item' THEN '- ' ELSE '' END || text, e'\n\n' ORDER BY ordinal), '\s+$', '') || e'\n')::INT AS bytes FROM block GROUP BY doc_id
+    UNION ALL SELECT doc_id, sha256(chr(10)), 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM block)""")
 def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = render.markdown(layout.text_blocks(read(spark, sf_dir, "documents")))
+    shown = render.markdown(layout.block_arrays(read(spark, sf_dir, "documents")))
     return shown.select("doc_id", F.sha2("markdown", 256).alias("markdown_sha256"), F.octet_length("markdown").alias("bytes"))
 
 
@@ -144,9 +166,10 @@ ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&l
 
 
 @query(BLOCKS + f""" SELECT doc_id, sha256(e'<!doctype html>\\n<html><body>\\n<section data-page="1">\\n' || string_agg(CASE kind WHEN 'heading' THEN '<h1>' WHEN 'list_item' THEN '<li>' ELSE '<p>' END || {ESCAPED}
-    || CASE kind WHEN 'heading' THEN e'</h1>\\n' WHEN 'list_item' THEN e'</li>\\n' ELSE e'</p>\\n' END, '' ORDER BY ordinal) || e'</section>\\n</body></html>\\n') AS html_sha256 FROM block GROUP BY doc_id""")
+    || CASE kind WHEN 'heading' THEN e'</h1>\\n' WHEN 'list_item' THEN e'</li>\\n' ELSE e'</p>\\n' END, '' ORDER BY ordinal) || e'</section>\\n</body></html>\\n') AS html_sha256 FROM block GROUP BY doc_id
+    UNION ALL SELECT doc_id, sha256(e'<!doctype html>\\n<html><body>\\n<section data-page="1">\\n</section>\\n</body></html>\\n') FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM block)""")
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.html(layout.text_blocks(read(spark, sf_dir, "documents"))).select("doc_id", F.sha2("html", 256).alias("html_sha256"))
+    return render.html(layout.block_arrays(read(spark, sf_dir, "documents"))).select("doc_id", F.sha2("html", 256).alias("html_sha256"))
 
 
 @query(r"""WITH raw AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
@@ -202,13 +225,41 @@ def parsed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", identity.parsed_bytes(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
 
 
-@query(r"""WITH p AS (SELECT d.doc_id, trim(regexp_replace(coalesce(d.text, ''), '\s+', ' ', 'g')) AS native, CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE trim(regexp_replace(coalesce(d.text, '') || CASE WHEN d.doc_id % 3 = 0 THEN ' more' ELSE '' END, '\s+', ' ', 'g')) END AS ocr FROM documents d),
-    r AS (SELECT *, CASE WHEN native = '' AND ocr = '' THEN 'nothing_found' WHEN ocr = '' OR native = '' THEN 'only_hypothesis' WHEN native = ocr THEN 'agreement' WHEN length(regexp_replace(native, '\s', '', 'g')) >= 80 THEN 'native_preferred' WHEN contains(ocr, native) THEN 'ocr_covers_native' ELSE 'native_preferred' END AS reason FROM p)
-    SELECT doc_id, CASE WHEN reason = 'nothing_found' THEN NULL WHEN native = '' OR reason = 'ocr_covers_native' THEN 'ocr' ELSE 'native' END AS selected_stage, reason, native <> '' AND ocr <> '' AND native <> ocr AS disagree FROM r""")
+READINGS = f"""WITH p AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 < 3 THEN regexp_replace(substr({NATIVE}, 1, 60), '\\s+$', '') ELSE {NATIVE} END AS native,
+        CASE WHEN doc_id % 4 = 0 THEN '' ELSE (CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE substr({NATIVE}, 1, 90) END) || CASE WHEN doc_id % 3 = 0 THEN ' more' ELSE '' END END AS ocr FROM documents),
+    r AS (SELECT *, length(regexp_replace(native, '\\s', '', 'g')) >= 80 AS enough, native <> '' AND NOT contains(ocr, native) AS kept FROM p),
+    v AS (SELECT *, CASE WHEN enough THEN 'native' ELSE array_to_string(list_filter([CASE WHEN kept THEN 'native' END, CASE WHEN ocr <> '' THEN 'ocr' END], lambda x: x IS NOT NULL), '+') END AS selected_stages FROM r)"""
+
+
+def readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Native texts, some missing or short, and a second reading that lacks every fourth page and adds to every third."""
+    d = read(spark, sf_dir, "documents").select("doc_id", text.normalized_native_text(F.coalesce("text", F.lit(""))).alias("text"))
+    i = F.col("doc_id")
+    native = F.when(i % 5 == 0, "").when(i % 5 < 3, F.substring("text", 1, 60)).otherwise(F.col("text"))
+    again = F.concat(F.when(i % 7 == 0, "x").otherwise(F.substring("text", 1, 90)), F.when(i % 3 == 0, " more").otherwise(""))
+    return d.withColumn("text", native), d.where(i % 4 != 0).withColumn("text", again)
+
+
+@query(READINGS + r""" SELECT doc_id, selected_stages, CASE WHEN enough THEN 'native_quality' WHEN native = '' AND ocr <> '' THEN 'native_absent' WHEN native <> '' THEN 'reconciled' END AS reason,
+        native <> '' AND regexp_replace(ocr, '^\s+|\s+$', '', 'g') <> '' AND native <> regexp_replace(ocr, '^\s+|\s+$', '', 'g') AS disagree,
+        sha256(CASE selected_stages WHEN 'native' THEN native WHEN 'ocr' THEN ocr WHEN 'native+ocr' THEN native || chr(10) || ocr END) AS text_sha256 FROM v""".replace("\\\\", "\\"))
 def reconcile_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Native text against a second reading, which lacks every fourth page and adds to every third."""
-    from ..operators import reconcile
+    return reconcile.selected(*readings(spark, sf_dir)).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+@query(READINGS + """ SELECT count(*) AS pages, count(*) FILTER (WHERE selected_stages <> '') AS nonblank, count(*) FILTER (WHERE contains(selected_stages, 'ocr')) AS ocr, count(*) FILTER (WHERE contains(selected_stages, 'native')) AS native,
+    count(*) FILTER (WHERE selected_stages <> '' AND NOT (selected_stages = 'ocr' AND trim(ocr) = '')) AS searchable, count(*) FILTER (WHERE native <> '' AND trim(ocr) <> '' AND native <> regexp_replace(ocr, '^\\s+|\\s+$', '', 'g')) AS disagreeing FROM v""")
+def baseline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.summary(reconcile.selected(*readings(spark, sf_dir))).drop("bytes_per_page")
+
 
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    again = d.where("doc_id % 4 <> 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " more").otherwise("")))
-    return reconcile.selected(d, again).drop("text")
+@query(READINGS + """, p2 AS (SELECT source AS document, lpad(doc_id::VARCHAR, 9, '0') AS page_id, unnest([{'c': 'text_extract', 'ok': native <> ''}, {'c': 'ocr_page', 'ok': ocr <> ''}, {'c': 'layout_detect', 'ok': native || ocr <> ''}, {'c': 'reading_order_detect', 'ok': native || ocr <> ''}]) AS s, native || ocr = '' AS blank FROM v)
+    SELECT document, s.c AS capability, CASE WHEN s.ok OR blank THEN 'complete' ELSE 'candidate' END AS status, string_agg(page_id, ',' ORDER BY page_id) AS page_ids FROM p2 GROUP BY 1, 2, 3
+    UNION ALL SELECT DISTINCT source, 'document_open', 'complete', '' FROM documents""")
+def baseline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as documents, documents as their pages."""
+    native, again = readings(spark, sf_dir)
+    rows = native.join(again.withColumnRenamed("text", "ocr"), "doc_id", "left").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    has = {"has_native": F.col("text") != "", "has_ocr": F.coalesce(F.col("ocr") != "", F.lit(False))}
+    pages = rows.select(F.col("source").alias("document"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("page_id"), *[c.alias(n) for n, c in has.items()])
+    return reconcile.coverage(pages.withColumn("has_region", F.col("has_native") | F.col("has_ocr")).withColumn("blank", ~F.col("has_region")))

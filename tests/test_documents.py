@@ -27,7 +27,8 @@ def test_blocks(spark):
 
 
 def test_renders(spark):
-    blocks = layout.text_blocks(pages(spark, "TOP <1>\nOne & two.\n- item"))
+    blocks = layout.block_arrays(pages(spark, "TOP <1>\nOne & two.\n- item"))
+    assert {r.markdown for r in render.markdown(layout.block_arrays(pages(spark, None, "", " \n"))).collect()} == {"\n"}
     assert render.markdown(blocks).head().markdown == "# TOP <1>\n\nOne & two.\n\n- - item\n"
     assert '<section data-page="1">\n<h1>TOP &lt;1&gt;</h1>\n<p>One &amp; two.</p>\n<li>- item</li>\n</section>' in render.html(blocks).head().html
     assert '"kind":"heading"' in render.render(blocks, "evidence_json").head().json
@@ -69,6 +70,7 @@ def test_sketch_against_its_definition(spark):
             weights[b] += 1 if bits >> b & 1 else -1
     expected = sum(1 << b for b in range(64) if weights[b] >= 0)
     assert survey.token_simhash(pages(spark, body)).head().simhash == f"{expected:016x}"
+    assert [r.simhash for r in survey.token_simhash(pages(spark, None, " -- ")).collect()] == [None, None]
 
 
 def test_identities(spark):
@@ -95,8 +97,8 @@ def test_normalised_text_and_latex(spark):
 def test_reconciled_view(spark):
     long = "word " * 40
     view = reconcile.selected(pages(spark, long, "abc", "", None, "abc"), pages(spark, long + "x", "abc def", "only", None, "other"))
-    got = {r.doc_id: (r.selected_stage, r.reason, r.disagree) for r in view.collect()}
-    assert got == {0: ("native", "native_preferred", True), 1: ("ocr", "ocr_covers_native", True), 2: ("ocr", "only_hypothesis", False), 3: (None, "nothing_found", False), 4: ("native", "native_preferred", True)}
+    got = {r.doc_id: (r.selected_stages, r.reason, r.disagree, r.text) for r in view.collect()}
+    assert got == {0: ("native", "native_quality", True, long.strip()), 1: ("ocr", "reconciled", True, "abc def"), 2: ("ocr", "native_absent", False, "only"), 3: ("", None, False, None), 4: ("native+ocr", "reconciled", True, "abc\nother")}
     assert reconcile.summary(view).head().pages == 5
 
 
