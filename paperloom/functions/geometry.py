@@ -61,3 +61,13 @@ def raster_size(points: Column, dpi: int) -> Column:
     if not 1 <= dpi <= 1200:
         raise ValueError("dpi must be 1 to 1200")
     return F.ceil(points * dpi / 72)
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    """Brightness of a pixel from 0 to 255, in whole numbers."""
+    return F.floor((299 * red + 587 * green + 114 * blue) / 1000)
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two rectangles are of one space and unit, so that they may be compared."""
+    return (a["space"] == b["space"]) & (a["unit"] == b["unit"])

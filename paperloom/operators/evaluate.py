@@ -159,6 +159,18 @@ def matching(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]
     return [(t, p, overlap[t, p]) for t, p in sorted((t, p) for p, t in owner.items())]
 
 
+def block_kind(region_kind: Column) -> Column:
+    """The evaluator's four kinds: headers are headings, cells tables, and the rest paragraphs."""
+    return F.when(region_kind.isin("heading", "header"), "heading").when(region_kind.isin("table", "table_cell"), "table").when(region_kind == "formula", "formula").otherwise("paragraph")
+
+
+def variance_notes(samples: DataFrame, label: str, by: list[str], order: list[str], value: str) -> DataFrame:
+    """A note on the spread of every case that has warm samples."""
+    rows = summary(samples, by, order, value).where("warm_n > 0")
+    note = F.format_string("%s %s warm wall n=%d mean=%.3fms stddev=%.3fms", F.lit(label), F.concat_ws("/", *[F.col(b).cast("string") for b in by]), F.col("warm_n"), F.col("warm_mean"), F.col("warm_stddev"))
+    return rows.select(*by, note.alias("note"))
+
+
 def joined_regions(truth: DataFrame, predicted: DataFrame, matched: DataFrame, key: str = "case_id") -> DataFrame:
     """Every truth region with the prediction assigned to it, null without one.
 

@@ -30,8 +30,10 @@ def placement_matches(placement: Column, required: Column, device: Column) -> Co
 def decisions(candidates: DataFrame, policy: dict, inventory: dict) -> DataFrame:
     """Every candidate with its reasons; without one it is accepted.
 
-    ``candidates``: engine_id, descriptor_id, backend, device, device_kind, capabilities and
-    devices (arrays), installed, network_use, ram, vram, cost, latency, quality.
+    ``candidates``: engine_id, descriptor_id, backend, device, device_kind, capabilities (an
+    array), compatibility (an array of backend and its devices), installed, network_use, ram, vram,
+    cost, latency, quality.  A device that its backend isn't declared for, and one that isn't
+    there, are a reason each of the same code.
     """
     lit = lambda name, source=policy: F.lit(source.get(name)).cast("long")
     online = F.col("network_use") != "none"
@@ -44,8 +46,8 @@ def decisions(candidates: DataFrame, policy: dict, inventory: dict) -> DataFrame
     reasons = F.array(
         F.when(~F.array_contains("capabilities", policy["capability"]), F.lit("capability_unsupported")),
         F.when(F.col("descriptor_id") != F.col("engine_id"), F.lit("descriptor_mismatch")),
-        F.when(~F.array_contains("devices", F.col("device_kind")), F.lit("device_incompatible")),
-        F.when((F.col("device_kind") != "cpu") & ~F.array_contains(present, F.col("device")), F.lit("device_absent")),
+        F.when(~F.exists("compatibility", lambda c: (c["backend"] == F.col("backend")) & F.array_contains(c["devices"], F.col("device_kind"))), F.lit("device_incompatible")),
+        F.when((F.col("device_kind") != "cpu") & ~F.array_contains(present, F.col("device")), F.lit("device_incompatible")),
         F.when(~placement_matches(F.lit(policy.get("placement", "auto")), F.lit(policy.get("device")), F.col("device")), F.lit("placement_rejected")),
         F.when(~F.col("engine_id").isin(allowed) if allowed else never, F.lit("engine_not_allowed")),
         F.when(~F.col("installed"), F.lit("model_unavailable")),
@@ -60,6 +62,17 @@ def decisions(candidates: DataFrame, policy: dict, inventory: dict) -> DataFrame
     return rows.withColumn("accepted", F.size("reasons") == 0)
 
 
+#: What a profile sets beside the order of candidates.
+PROFILES = {"cpu": {"placement": "cpu_only"}, "low_vram": {"max_vram": 2 << 30}, "offline": {"offline": True}, "private": {"private": True}, "fast": {}, "balanced": {}, "accurate": {}, "cheap": {}}
+
+
+def policy_for(profile: str, capability: str) -> dict:
+    """The policy of a profile: no limit but its own, unknown estimates not allowed."""
+    if profile not in PROFILES:
+        raise ValueError(f"no such profile: {profile}")
+    return {"capability": capability, "placement": "auto", "offline": False, "private": False, "allow_unknown": False} | PROFILES[profile]
+
+
 def profile_order(profile: str, preferred: str | None = None) -> list[Column]:
     """Sort keys: the preferred device, the profile's measures with unknown last, then identity."""
     quality, latency, cost = F.col("quality").desc_nulls_last(), F.col("latency").asc_nulls_last(), F.col("cost").asc_nulls_last()
@@ -90,6 +103,74 @@ def combinations(choices: DataFrame, goals: list[str], goal: str = "goal", choic
     return rows
 
 
+def device_millis(invocations: DataFrame, by: list[str], kind: str = "device_kind", millis: str = "latency") -> DataFrame:
+    """Time on accelerators by kind of device; unknown where any part is."""
+    value = F.col(millis)
+    return invocations.where(F.col(kind) != "cpu").groupBy(*by, kind).agg(F.when(F.count(value) == F.count("*"), F.sum(value)).alias("millis"), F.count("*").alias("invocations"))
+
+
+def goal_choices(goals: DataFrame, stages: DataFrame, requires: DataFrame, coverage: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The admissible choices of every goal that is open, and why stages or goals have none.
+
+    ``goals``: doc, capability, page (null for the whole document); ``stages``: stage_id,
+    produces, whole_document, engine_id; ``requires``: stage_id, capability; ``coverage``: doc,
+    capability, page, complete ones only; ``decided``: candidates of engines with their reasons.
+    Choices that are alike in meaning are one; they are sorted by that key.
+    """
+    whole = coverage.where("page is null").select("doc", "capability").distinct()
+    covered = coverage.where("page is not null").select("doc", "capability", "page").distinct()
+    open_ = goals.distinct().join(whole, ["doc", "capability"], "left_anti").join(covered, ["doc", "capability", "page"], "left_anti")
+    tried = open_.join(stages.withColumnRenamed("produces", "capability"), "capability").withColumn("scope", F.when(~F.col("whole_document"), F.col("page")))
+    needs = tried.select("doc", "stage_id", "scope").distinct().join(requires.withColumnRenamed("capability", "needed"), "stage_id")
+    needs = needs.join(whole.withColumnRenamed("capability", "needed"), ["doc", "needed"], "left_anti")
+    missing = needs.join(covered.select("doc", F.col("capability").alias("needed"), F.col("page").alias("scope")), ["doc", "needed", "scope"], "left_anti")
+    blocked = missing.select("doc", "stage_id", F.coalesce("scope", F.lit("")).alias("at")).distinct()
+    tried = tried.withColumn("at", F.coalesce("scope", F.lit("")))
+    free = tried.join(blocked, ["doc", "stage_id", "at"], "left_anti").join(decided, "engine_id")
+    choices = free.where("accepted").select("doc", "capability", "page", "stage_id", "scope", "engine_id", "backend", "device", "cost", "latency", "ram").distinct()
+    why = missing.select("doc", F.concat(F.lit("stage "), "stage_id", F.lit(" requires "), "needed").alias("reason"))
+    refused = free.where(~F.col("accepted")).select("doc", "stage_id", F.explode("reasons").alias("r"))
+    why = why.unionByName(refused.select("doc", F.concat(F.lit("stage "), "stage_id", F.lit(": "), "r").alias("reason")))
+    nobody = open_.join(stages.select(F.col("produces").alias("capability")).distinct(), "capability", "left_anti")
+    why = why.unionByName(nobody.select("doc", F.concat(F.lit("no registered stage produces "), "capability").alias("reason")))
+    return choices, why.distinct()
+
+
+def document_plans(choices: DataFrame, most: int = MOST_PLANS) -> DataFrame:
+    """Every way of choosing once for each goal of a document: plans of invocations, each plan once.
+
+    Ways are counted before they are made: a document with over ``most`` raises.  An invocation
+    on the whole document makes others of its capability needless.  A plan's identity is that of
+    its invocations, whatever their order.
+    """
+    invocation = F.struct("stage_id", "capability", "scope", "engine_id", "backend", "device", "cost", "latency", "ram")
+    goals = choices.groupBy("doc", "capability", "page").agg(F.array_sort(F.collect_set(invocation)).alias("ways"))
+    goals = goals.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("capability", "page", "ways"))).alias("goals"))
+    count = F.aggregate("goals", F.lit(1).cast("long"), lambda n, g: F.least(n * F.size(g["ways"]), F.lit(most + 1).cast("long")))
+    fine = F.when(count > most, F.raise_error(F.concat(F.lit(f"candidate frontier exceeds the explicit {most}-plan bound: "), F.col("doc").cast("string"))).cast("boolean")).otherwise(True)
+    kind = choices.select(invocation.alias("i")).schema["i"].dataType.simpleString()
+    empty = F.array(F.array().cast(f"array<{kind}>"))
+    plans = F.aggregate(F.when(fine, F.col("goals")), empty, lambda done, g: F.flatten(F.transform(done, lambda plan: F.transform(g["ways"], lambda w: F.array_union(plan, F.array(w))))))
+    rows = goals.select("doc", F.explode(plans).alias("plan"))
+    whole = F.transform(F.filter("plan", lambda i: i["scope"].isNull()), lambda i: i["capability"])
+    kept = F.array_sort(F.filter("plan", lambda i: i["scope"].isNull() | ~F.array_contains(whole, i["capability"])))
+    rows = rows.select("doc", kept.alias("plan"))
+    named = F.transform("plan", lambda i: F.concat_ws("/", i["stage_id"], i["capability"], F.coalesce(i["scope"], F.lit("*")), i["engine_id"], i["backend"], i["device"]))
+    shown = F.array_join(F.array_sort(named), "\n")
+    return rows.select("doc", F.sha2(shown, 256).alias("plan_id"), "plan").dropDuplicates(["doc", "plan_id"])
+
+
+def plan_totals(plans: DataFrame) -> DataFrame:
+    """Cost and latency as sums, memory as most; unknown where any part is."""
+
+    def total(name: str, start: Column, merge) -> Column:
+        parts = F.transform("plan", lambda i: i[name])
+        return F.when(~F.exists(parts, lambda x: x.isNull()), F.aggregate(parts, start, merge))
+
+    zero = F.lit(0).cast("long")
+    return plans.withColumns({"cost": total("cost", zero, lambda a, x: a + x), "latency": total("latency", zero, lambda a, x: a + x), "ram": total("ram", zero, lambda a, x: F.greatest(a, x))})
+
+
 def known(kind: str, value: Column) -> Column:
     made = {"sum": F.sum(value), "sum_capped": F.least(F.sum(value), F.lit(10_000)), "min": F.min(value), "max": F.max(value)}[kind]
     return F.when(F.count(value) == F.count("*"), made)

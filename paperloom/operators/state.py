@@ -86,3 +86,43 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
     rows = manifest.join(found, "path", "full_outer")
     why = F.when(F.col("found").isNull(), "missing").when(F.col("digest").isNull(), "unlisted").when(F.col("found") != F.col("digest"), "digest_differs").when(F.col("found_bytes") != F.col("bytes"), "size_differs")
     return rows.withColumn("violation", why).where("violation is not null").select("path", "violation")
+
+
+def put(store: DataFrame, values: DataFrame) -> DataFrame:
+    """A store with values added: what is there stays, of several new ones for a key the smallest wins."""
+    new = values.groupBy("key").agg(F.min("value").alias("value")).withColumn("digest", F.sha2("value", 256))
+    return store.select("key", "value", "digest").unionByName(new.join(store.select("key"), "key", "left_anti").select("key", "value", "digest"))
+
+
+def sizes(artifacts: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
+    """Bytes of a document's evidence and checkpoints, and their ratio to its source; null without one."""
+    sums = artifacts.groupBy(*by).agg(F.sum("bytes").alias("evidence_bytes"), F.sum(F.when(F.col("kind") == "checkpoint", F.col("bytes")).otherwise(0)).alias("checkpoint_bytes"))
+    return sums.join(sources, by).withColumn("ratio", F.try_divide(F.col("evidence_bytes"), F.col("source_bytes"))).drop("source_bytes")
+
+
+def cacheability(deterministic: Column, seed: Column) -> Column:
+    return F.when(deterministic, "deterministic").when(seed.isNotNull(), "seeded").otherwise("uncacheable")
+
+
+def replayed(initial: DataFrame, deltas: DataFrame, by: list[str], order: str) -> DataFrame:
+    """As ``materialized``, but a region with different selections raises instead of the last one winning."""
+    why = F.concat(F.lit("conflicting selections: "), F.concat_ws("/", *[F.col(b).cast("string") for b in by]))
+    found = conflicts(deltas, by).select(*by, F.raise_error(why).cast("string").alias("conflict"))
+    return materialized(initial, deltas, by, order).join(found, by, "left").where("conflict is null").drop("conflict")
+
+
+def collected(blobs: DataFrame, referenced: DataFrame, leased: DataFrame) -> DataFrame:
+    """How many blobs are garbage and their bytes."""
+    return garbage(blobs, referenced, leased).agg(F.count("*").alias("removed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("removed_bytes"))
+
+
+def resolved_blobs(references: DataFrame, blobs: DataFrame, most_bytes: int) -> DataFrame:
+    """References with their bytes; one that is missing, too large, or of another digest says so instead."""
+    rows = references.join(blobs.select("blob_id", "content"), "blob_id", "left")
+    why = F.when(F.col("content").isNull(), "missing").when(F.octet_length("content") > most_bytes, "too_large").when(F.sha2("content", 256) != F.col("digest"), "digest_differs")
+    return rows.withColumn("violation", why).withColumn("content", F.when(why.isNull(), F.col("content")))
+
+
+def physical_cores(processors: DataFrame, by: list[str]) -> DataFrame:
+    """Different cores among logical processors."""
+    return processors.groupBy(*by).agg(F.count_distinct("package", "core").alias("cores"))

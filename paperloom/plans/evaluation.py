@@ -301,6 +301,11 @@ def report_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.checked_report(report, claimed, ["lang"])
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT user_id, printf('baseline %s warm wall n=%d mean=%.3fms stddev=%.3fms', user_id::VARCHAR, count(*), avg(value), stddev_pop(value)) AS note FROM r WHERE n > 1 GROUP BY user_id""")
+def variance_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.variance_notes(read(spark, sf_dir, "events"), "baseline", ["user_id"], ["ts", "event_id"], "value")
+
+
 @query("SELECT text, count(*) AS rows FROM documents GROUP BY text HAVING count(*) > 1")
 def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.repeated(read(spark, sf_dir, "documents"), "text")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import planner, routing, state
+from ..functions import geometry, identity
+from ..operators import evaluate, planner, routing, state
 from .tables import CANDIDATES_SQL, INVENTORY, POLICY, RECORDS_SQL, candidates, deltas, read, records
 
 QUERIES, SQL = {}, {}
@@ -22,8 +23,8 @@ def query(sql: str | None = None):
 
 
 DECIDED = f"""SELECT *, array_to_string(list_filter([
-    CASE WHEN NOT has_layout THEN 'capability_unsupported' END, CASE WHEN descriptor_id <> engine_id THEN 'descriptor_mismatch' END, CASE WHEN device_kind = 'cuda' AND NOT on_cuda THEN 'device_incompatible' END,
-    CASE WHEN device = 'cuda:1' THEN 'device_absent' END, CASE WHEN NOT installed THEN 'model_unavailable' END, CASE WHEN online THEN 'offline_violation' END,
+    CASE WHEN NOT has_layout THEN 'capability_unsupported' END, CASE WHEN descriptor_id <> engine_id THEN 'descriptor_mismatch' END, CASE WHEN NOT compatible THEN 'device_incompatible' END,
+    CASE WHEN device = 'cuda:1' THEN 'device_incompatible' END, CASE WHEN NOT installed THEN 'model_unavailable' END, CASE WHEN online THEN 'offline_violation' END,
     CASE WHEN ram IS NULL THEN 'ram_unknown' WHEN ram > 4000 THEN 'ram_budget_exceeded' END, CASE WHEN vram IS NULL THEN 'vram_unknown' WHEN vram > 400 THEN 'vram_budget_exceeded' END,
     CASE WHEN cost IS NULL THEN 'cost_unknown' WHEN cost > 80 THEN 'cost_budget_exceeded' END, CASE WHEN latency IS NULL THEN 'latency_unknown' WHEN latency > 350 THEN 'deadline_exceeded' END], lambda x: x IS NOT NULL), ',') AS reasons
     FROM ({CANDIDATES_SQL})"""
@@ -76,9 +77,70 @@ def estimate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.interval(rows, ["plan_id"], "sum_capped", "no")
 
 
-@query(f"SELECT device, sum(latency)::BIGINT AS millis, count(*) AS candidates FROM ({CANDIDATES_SQL}) WHERE device_kind <> 'cpu' GROUP BY device")
+@query(f"SELECT request, device_kind, CASE WHEN count(latency) = count(*) THEN sum(latency) END::BIGINT AS millis, count(*) AS invocations FROM ({CANDIDATES_SQL}) WHERE device_kind <> 'cpu' GROUP BY request, device_kind")
 def accelerator_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).where("device_kind <> 'cpu'").groupBy("device").agg(F.sum("latency").alias("millis"), F.count("*").alias("candidates"))
+    return planner.device_millis(candidates(spark, sf_dir), ["request"])
+
+
+STAGES_SQL = """
+    WITH g AS (SELECT n_nationkey AS doc, unnest(['ocr', 'table', 'formula']) AS capability, n_nationkey % 3 AS p FROM nation UNION ALL SELECT n_nationkey, 'ocr', NULL FROM nation WHERE n_nationkey % 6 = 0),
+    goal AS (SELECT DISTINCT doc, capability, p::VARCHAR AS page FROM g WHERE NOT (capability = 'formula' AND doc % 8 <> 0)),
+    cov AS (SELECT n_nationkey AS doc, 'text' AS capability, NULL::VARCHAR AS page FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, 'ocr', (n_nationkey % 3)::VARCHAR FROM nation WHERE n_nationkey % 4 = 0),
+    stage AS (SELECT * FROM (VALUES ('read', 'ocr', false, 1), ('read.whole', 'ocr', true, 2), ('grid', 'table', false, 3), ('grid.text', 'table', false, 4)) s(stage_id, capability, whole_document, engine)),
+    need AS (SELECT * FROM (VALUES ('grid.text', 'text'), ('grid', 'ocr')) n(stage_id, needed)),
+    cand AS (SELECT * FROM (VALUES (1, 'cpu', 5, 40, 100, true), (1, 'cuda:0', 9, 4, 300, true), (2, 'cpu', 7, NULL, 50, true), (3, 'cpu', 1, 10, 80, true), (4, 'cpu', 2, 20, 70, true), (4, 'cuda:0', 3, 2, 400, false)) c(engine, device, cost, latency, ram, accepted)),
+    open_ AS (SELECT * FROM goal g WHERE NOT EXISTS (SELECT 1 FROM cov c WHERE c.doc = g.doc AND c.capability = g.capability AND (c.page IS NULL OR c.page = g.page))),
+    tried AS (SELECT o.*, s.stage_id, s.engine, CASE WHEN NOT whole_document THEN o.page END AS scope FROM open_ o JOIN stage s USING (capability)),
+    lack AS (SELECT DISTINCT t.doc, t.stage_id, t.scope, n.needed FROM tried t JOIN need n USING (stage_id) WHERE NOT EXISTS (SELECT 1 FROM cov c WHERE c.doc = t.doc AND c.capability = n.needed AND (c.page IS NULL OR c.page = t.scope))),
+    free AS (SELECT * FROM tried t WHERE NOT EXISTS (SELECT 1 FROM lack l WHERE l.doc = t.doc AND l.stage_id = t.stage_id AND l.scope IS NOT DISTINCT FROM t.scope)),
+    choice AS (SELECT DISTINCT doc, capability, page, stage_id, scope, 'engine-' || engine AS engine_id, 'native' AS backend, device, cost::BIGINT AS cost, latency::BIGINT AS latency, ram::BIGINT AS ram FROM free JOIN cand USING (engine) WHERE accepted)"""
+
+
+def enrichment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as documents with goals on a page or the whole, and four stages to meet them."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc"))
+    page = (F.col("doc") % 3).cast("string")
+    goals = n.select("doc", F.explode(F.array(*[F.lit(c) for c in ("ocr", "table", "formula")])).alias("capability"), page.alias("page")).where("capability <> 'formula' or doc % 8 = 0")
+    goals = goals.unionByName(n.where("doc % 6 = 0").select("doc", F.lit("ocr").alias("capability"), F.lit(None).cast("string").alias("page")))
+    coverage = n.where("doc % 5 <> 0").select("doc", F.lit("text").alias("capability"), F.lit(None).cast("string").alias("page")).unionByName(n.where("doc % 4 = 0").select("doc", F.lit("ocr").alias("capability"), page.alias("page")))
+    stages = spark.createDataFrame([("read", "ocr", False, "engine-1"), ("read.whole", "ocr", True, "engine-2"), ("grid", "table", False, "engine-3"), ("grid.text", "table", False, "engine-4")], "stage_id string, produces string, whole_document boolean, engine_id string")
+    requires = spark.createDataFrame([("grid.text", "text"), ("grid", "ocr")], "stage_id string, capability string")
+    rows = [("engine-1", "cpu", 5, 40, 100, True), ("engine-1", "cuda:0", 9, 4, 300, True), ("engine-2", "cpu", 7, None, 50, True), ("engine-3", "cpu", 1, 10, 80, True), ("engine-4", "cpu", 2, 20, 70, True), ("engine-4", "cuda:0", 3, 2, 400, False)]
+    decided = spark.createDataFrame(rows, "engine_id string, device string, cost long, latency long, ram long, accepted boolean").withColumn("backend", F.lit("native")).withColumn("reasons", F.when(~F.col("accepted"), F.array(F.lit("ram_budget_exceeded"))).otherwise(F.array().cast("array<string>")))
+    return planner.goal_choices(goals, stages, requires, coverage, decided)
+
+
+@query(STAGES_SQL + " SELECT * FROM choice")
+def enrichment_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrichment(spark, sf_dir)[0]
+
+
+@query(STAGES_SQL + """ SELECT doc, 'stage ' || stage_id || ' requires ' || needed AS reason FROM lack UNION SELECT doc, 'stage ' || stage_id || ': ram_budget_exceeded' FROM free JOIN cand USING (engine) WHERE NOT accepted
+    UNION SELECT doc, 'no registered stage produces ' || capability FROM open_ WHERE capability = 'formula'""")
+def enrichment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrichment(spark, sf_dir)[1]
+
+
+#: Goals are three at most: the whole document's recognition, a page's, and a page's tables.
+PLANS_SQL = STAGES_SQL + """, w AS (SELECT *, concat_ws('/', stage_id, capability, coalesce(scope, '*'), engine_id, backend, device) AS shown FROM choice),
+    way AS (SELECT d.doc, a.shown AS a, b.shown AS b, c.shown AS c FROM (SELECT DISTINCT doc FROM w) d LEFT JOIN w a ON a.doc = d.doc AND a.capability = 'ocr' AND a.page IS NULL LEFT JOIN w b ON b.doc = d.doc AND b.capability = 'ocr' AND b.page IS NOT NULL LEFT JOIN w c ON c.doc = d.doc AND c.capability = 'table'),
+    part AS (SELECT doc, list_distinct(list_filter([a, b, c], lambda x: x IS NOT NULL)) AS part FROM way),
+    kept AS (SELECT doc, list_filter(part, lambda x: NOT (contains(x, '/ocr/') AND NOT contains(x, '/ocr/*/') AND len(list_filter(part, lambda y: contains(y, '/ocr/*/'))) > 0)) AS part FROM part),
+    plan AS (SELECT DISTINCT doc, list_sort(part) AS part FROM kept),
+    inv AS (SELECT doc, part, unnest(part) AS shown FROM plan), cost AS (SELECT DISTINCT doc, shown, cost, latency, ram FROM w),
+    tot AS (SELECT doc, array_to_string(part, chr(10)) AS plan, count(*) AS invocations, sum(cost)::BIGINT AS cost, CASE WHEN count(latency) = count(*) THEN sum(latency) END::BIGINT AS latency, max(ram)::BIGINT AS ram FROM inv JOIN cost USING (doc, shown) GROUP BY doc, part)"""
+
+
+@query(PLANS_SQL + " SELECT doc, sha256(plan) AS plan_id, invocations, cost, latency, ram FROM tot")
+def enrichment_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = planner.plan_totals(planner.document_plans(enrichment(spark, sf_dir)[0]))
+    return plans.select("doc", "plan_id", F.size("plan").cast("long").alias("invocations"), "cost", "latency", "ram")
+
+
+@query(PLANS_SQL + " SELECT doc, sha256(plan) AS plan_id, cost, latency, ram FROM tot r WHERE NOT EXISTS (SELECT 1 FROM tot o WHERE o.doc = r.doc AND o.cost <= r.cost AND o.latency <= r.latency AND o.ram <= r.ram AND (o.cost < r.cost OR o.latency < r.latency OR o.ram < r.ram))")
+def enrichment_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = planner.plan_totals(planner.document_plans(enrichment(spark, sf_dir)[0])).drop("plan")
+    return planner.frontier(plans, ["doc"], ["cost", "latency", "ram"], [], "plan_id")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand, p_size, p_retailprice AS price, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 100 END AS quality FROM part)
@@ -189,6 +251,51 @@ def guarded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.guarded(rows).select("doc_id", "route", "by")
 
 
+QUALIFIED = f"""WITH best AS (SELECT * FROM ({STUMPS}) ORDER BY objective DESC, threshold, native_if_at_least LIMIT 1),
+    h AS (SELECT * FROM ({RECORDS_SQL}) WHERE part = 'held_out'),
+    route AS (SELECT 'stump' AS policy, characters IS NULL OR (characters >= threshold) = native_if_at_least AS nat, h.* FROM h, best UNION ALL SELECT 'always_native', true, h.* FROM h UNION ALL SELECT 'native_threshold', coalesce(characters >= 32, false), h.* FROM h
+        UNION ALL SELECT 'page_type_rules', coalesce(characters >= 32, false) AND doc_id % 8 < 4, h.* FROM h UNION ALL SELECT 'profile_balanced', coalesce(characters >= 32, false), h.* FROM h),
+    e AS (SELECT policy, count(*) AS cases, avg(CASE WHEN nat THEN native_quality ELSE ocr_quality END) AS quality, avg(CASE WHEN nat THEN native_failed ELSE ocr_failed END) AS failure_rate, avg(CASE WHEN nat THEN native_millis ELSE ocr_millis END) AS millis FROM route GROUP BY policy),
+    o AS (SELECT *, quality - failure_rate - millis / 1000 * 0.001 AS objective FROM e)"""
+
+
+def qualification(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = records(spark, sf_dir)
+    features = {"scanned": (F.col("doc_id") % 8) / 8.0, "images": (F.col("doc_id") % 10) / 10.0}
+    return routing.qualified(rows, features)
+
+
+@query(QUALIFIED + " SELECT policy, cases, round(quality, 9) AS quality, round(failure_rate, 9) AS failure_rate, round(millis, 9) AS millis, round(objective, 9) AS objective FROM o")
+def held_out_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stump learnt on training records and the baselines, all on the held-out ones."""
+    found, _ = qualification(spark, sf_dir)
+    return found.select("policy", "cases", *[F.round(c, 9).alias(c) for c in ("quality", "failure_rate", "millis", "objective")])
+
+
+@query(QUALIFIED + f""", c AS (SELECT count(characters)::DOUBLE / count(*) AS confidence FROM ({RECORDS_SQL}) WHERE part = 'train'), b AS (SELECT max(objective) AS best FROM o WHERE policy <> 'stump')
+    SELECT round(confidence, 9) AS confidence, round(s.objective, 9) AS objective, round(best, 9) AS best_baseline, confidence >= 0.5 AND s.objective > best + 0.001 AS qualified,
+        CASE WHEN confidence < 0.5 THEN 'training feature coverage is below the declared confidence floor' WHEN s.objective <= best + 0.001 THEN 'model did not beat deterministic baselines on identical held-out cases' END AS reason FROM c, b, (SELECT objective FROM o WHERE policy = 'stump') s""")
+def stump_qualification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, verdict = qualification(spark, sf_dir)
+    return verdict.select(*[F.round(c, 9).alias(c) for c in ("confidence", "objective", "best_baseline")], "qualified", "reason")
+
+
+@query(f"SELECT part AS partition, count(*) AS records, count(characters) AS observed FROM ({RECORDS_SQL}) GROUP BY part")
+def record_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.partition_counts(records(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT doc_id AS case_id, quality FROM labels), o AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 23 = 0 THEN 1.5 WHEN doc_id % 31 = 0 THEN quality + 0.25 ELSE quality END::DOUBLE AS quality, CASE WHEN doc_id % 29 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS named FROM labels)
+    SELECT case_id, 'outcome_of_other_case' AS violation FROM o WHERE case_id % 29 = 0 UNION ALL SELECT case_id, 'quality_out_of_range' FROM o WHERE case_id % 23 = 0 OR quality > 1
+    UNION ALL SELECT o.case_id, 'differs_from_report' FROM o JOIN r ON o.named = r.case_id WHERE o.quality <> r.quality UNION ALL SELECT case_id, 'absent_from_report' FROM o WHERE case_id % 29 = 0""")
+def outcome_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes copied from a report, some of them wrong."""
+    i, labels = F.col("case_id"), read(spark, sf_dir, "labels")
+    report = labels.select(F.col("doc_id").alias("case_id"), F.col("quality").cast("double").alias("quality"))
+    copied = report.select("case_id", F.lit("e").alias("engine_id"), F.when(i % 29 == 0, i + 1_000_000_000).otherwise(i).alias("outcome_case_id"), F.when(i % 23 == 0, 1.5).when(i % 31 == 0, F.col("quality") + 0.25).otherwise(F.col("quality")).alias("quality"))
+    return routing.outcome_violations(copied, report)
+
+
 @query("SELECT source AS family_id, count(DISTINCT doc_id % 3) AS partitions FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1")
 def family_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.family_conflicts(read(spark, sf_dir, "documents").select(F.col("source").alias("family_id"), (F.col("doc_id") % 3).alias("partition")))
@@ -210,3 +317,55 @@ def ledger_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lease_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("delta", F.when(F.col("event_type") == "click", -1).otherwise(1))
     return routing.leases(e, ["user_id"], ["ts", "event_id"], 4).select("event_id", "user_id", "held", "exceeded")
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, ts, value, {STATUS} AS status FROM events), s AS (SELECT *, coalesce(sum(CASE WHEN status <> 'pending' THEN value END) OVER (PARTITION BY user_id), 0) + sum(CASE WHEN status = 'pending' THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS wall FROM e)
+    SELECT user_id, count(*) FILTER (WHERE status = 'complete') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'pending' AND wall - value < 500) AS runnable FROM s GROUP BY user_id""")
+def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials by state, and how many pending ones start before the wall budget is spent."""
+    e = read(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "failed").otherwise("pending")
+    trials = e.select("user_id", "ts", "event_id", status.alias("status"), F.col("value").alias("wall_ms"))
+    return routing.ledger_counts(trials, ["user_id"], ["ts", "event_id"], 500)
+
+
+@query("""WITH t AS (SELECT p_brand AS spec, p_name AS trial_id, p_partkey FROM part) SELECT spec, 'duplicate_trial' AS violation, trial_id AS "at" FROM t GROUP BY spec, trial_id HAVING count(*) > 1
+    UNION ALL SELECT spec, 'output_aliases_protected', 'out/' || (p_partkey % 50) FROM t WHERE p_partkey % 50 = 7 UNION ALL SELECT spec, 'path_not_relative', '/out' FROM t WHERE p_partkey % 50 = 9 UNION ALL SELECT spec, 'no_such_trial', 'x' || p_partkey FROM t WHERE p_partkey % 40 = 0""")
+def experiment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as trials of a brand's experiment, their reports, and a ledger."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("spec"), F.col("p_name").alias("trial_id"), F.col("p_partkey").alias("k"))
+    k = F.col("k") % 50
+    trials = p.select("spec", "trial_id", F.when(k == 9, "/out").otherwise(F.concat(F.lit("out/"), k.cast("string"))).alias("raw_report"))
+    protected = p.select("spec").distinct().select("spec", F.lit("out/7").alias("path"), F.lit("benchmark_truth").alias("role")).unionByName(p.select("spec").distinct().select("spec", F.lit("metrics").alias("path"), F.lit("metric_code").alias("role")))
+    ledger = p.select("spec", F.when(F.col("k") % 40 == 0, F.concat(F.lit("x"), F.col("k").cast("string"))).otherwise(F.col("trial_id")).alias("trial_id"))
+    return routing.experiment_violations(trials, protected, ledger)
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, 'b' || (o_orderkey % 700) AS value, o_totalprice FROM orders), s AS (SELECT k % 500 AS key, value FROM b WHERE k % 2 = 0), f AS (SELECT key, min(value) AS value FROM s GROUP BY key),
+    q AS (SELECT k, k % 500 AS key FROM b WHERE k % 2 = 1 OR k % 10 = 0) SELECT q.k AS request, q.key, CASE WHEN q.key % 90 = 0 THEN NULL ELSE f.value END AS value, f.value IS NOT NULL AND q.key % 90 <> 0 AS hit FROM q LEFT JOIN f USING (key)""")
+def stage_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values put in a cache, first by value wins; some were damaged since and are no hits."""
+    k, orders = F.col("o_orderkey"), read(spark, sf_dir, "orders")
+    puts = orders.where(k % 2 == 0).select((k % 500).alias("key"), F.concat(F.lit("b"), (k % 700).cast("string")).alias("value"))
+    store = state.put(puts.limit(0).withColumn("digest", F.lit("")), puts)
+    store = store.withColumn("value", F.when(F.col("key") % 90 == 0, "damaged").otherwise(F.col("value")))
+    requests = orders.where((k % 2 == 1) | (k % 10 == 0)).select(k.alias("request"), (k % 500).alias("key"))
+    return state.cached(requests, store).select("request", "key", "value", "hit")
+
+
+@query("""SELECT o_custkey AS doc, sum(o_orderkey)::BIGINT AS evidence_bytes, sum(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE 0 END)::BIGINT AS checkpoint_bytes, CASE WHEN min(o_custkey) % 10 <> 0 THEN round(sum(o_orderkey)::DOUBLE / min(o_custkey * 100), 9) END AS ratio FROM orders GROUP BY o_custkey""")
+def durable_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("doc"), F.when(F.col("o_orderkey") % 4 == 0, "checkpoint").otherwise("delta").alias("kind"), F.col("o_orderkey").alias("bytes"))
+    sources = o.select(F.col("o_custkey").alias("doc")).distinct().withColumn("source_bytes", F.when(F.col("doc") % 10 == 0, 0).otherwise(F.col("doc") * 100))
+    return state.sizes(rows, sources, ["doc"]).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'deterministic' WHEN n_nationkey % 3 = 1 THEN 'seeded' ELSE 'uncacheable' END AS cacheability, CASE WHEN n_regionkey = 1 THEN CASE WHEN n_nationkey % 5 > 2 THEN 'newer_minor' ELSE 'compatible' END ELSE 'incompatible_major' END AS compatibility,
+    (299 * (n_nationkey * 7) + 587 * (n_nationkey * 5) + 114 * (n_nationkey * 3)) // 1000 AS luminance, ['heading', 'paragraph', 'table', 'formula', 'paragraph'][n_nationkey % 5 + 1] AS block_kind FROM nation""")
+def small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    kind = F.get(F.array(*[F.lit(k) for k in ("heading", "caption", "table", "formula", "list")]), (n % 5).cast("int"))
+    return read(spark, sf_dir, "nation").select(
+        "n_nationkey", state.cacheability(n % 3 == 0, F.when(n % 3 == 1, n)).alias("cacheability"), identity.compatibility(F.col("n_regionkey"), n % 5, 1, 2).alias("compatibility"), geometry.luminance(n * 7, n * 5, n * 3).cast("int").alias("luminance"), evaluate.block_kind(kind).alias("block_kind")
+    )

@@ -41,7 +41,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         device.alias("device"),
         F.split(device, ":")[0].alias("device_kind"),
         F.when(p % 5 == 0, F.array(F.lit("ocr"))).otherwise(F.array(F.lit("layout"), F.lit("ocr"))).alias("capabilities"),
-        F.when(p % 7 == 0, F.array(F.lit("cpu"))).otherwise(F.array(F.lit("cpu"), F.lit("cuda"))).alias("devices"),
+        F.array(F.struct(F.lit("native").alias("backend"), F.when(p % 7 == 0, F.array(F.lit("cpu"))).otherwise(F.array(F.lit("cpu"), F.lit("cuda"))).alias("devices")), F.struct(F.when(p % 11 == 0, "other").otherwise("onnx").alias("backend"), F.array(F.lit("cpu"), F.lit("cuda")).alias("devices"))).alias("compatibility"),
         (p % 13 != 0).alias("installed"),
         F.when(p % 6 == 0, "required").otherwise("none").alias("network_use"),
         known(17, F.col("p_size").cast("long") * 100).alias("ram"),
@@ -55,7 +55,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same candidates in SQL.
 CANDIDATES_SQL = """SELECT p_brand AS request, 'engine-' || p_partkey AS engine_id, 'engine-' || (CASE WHEN p_partkey % 29 = 0 THEN p_partkey + 1 ELSE p_partkey END) AS descriptor_id,
     CASE WHEN p_partkey % 3 = 0 THEN 'onnx' ELSE 'native' END AS backend, CASE p_partkey % 4 WHEN 0 THEN 'cuda:0' WHEN 1 THEN 'cuda:1' ELSE 'cpu' END AS device,
-    CASE WHEN p_partkey % 4 < 2 THEN 'cuda' ELSE 'cpu' END AS device_kind, p_partkey % 5 <> 0 AS has_layout, p_partkey % 7 <> 0 AS on_cuda, p_partkey % 13 <> 0 AS installed, p_partkey % 6 = 0 AS online,
+    CASE WHEN p_partkey % 4 < 2 THEN 'cuda' ELSE 'cpu' END AS device_kind, p_partkey % 5 <> 0 AS has_layout, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 11 <> 0 ELSE p_partkey % 4 > 1 OR p_partkey % 7 <> 0 END AS compatible, p_partkey % 13 <> 0 AS installed, p_partkey % 6 = 0 AS online,
     CASE WHEN p_partkey % 17 <> 0 THEN p_size * 100 END AS ram, CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 50 * 10 END AS vram, CASE WHEN p_partkey % 23 <> 0 THEN p_partkey % 90 END AS cost,
     CASE WHEN p_partkey % 31 <> 0 THEN p_partkey % 400 END AS latency, CASE WHEN p_partkey % 37 <> 0 THEN (p_partkey % 101) / 100.0 END AS quality FROM part"""
 
