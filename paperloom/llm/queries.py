@@ -155,6 +155,16 @@ SQL: dict[str, str] = {
         WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         best AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM normal GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM normal JOIN best USING (t)""",
+    "op8_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        win AS (SELECT doc_id, i, sha1(h[i + 1:i + 200]) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+        again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+        hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win SEMI JOIN again USING (s)),
+        island AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+        span AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM island GROUP BY doc_id, k),
+        gap AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER w AS since, lead(a) OVER w IS NULL AS last FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+        cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN a > since THEN hex(h[since + 1:a]) ELSE '' END || CASE WHEN last AND b < n THEN hex(h[b + 1:n]) ELSE '' END, '' ORDER BY a) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN kept IS NULL THEN sha256(h) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
     "op6_embedding_near_dedup": """
         WITH RECURSIVE fine AS (
             SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings

@@ -76,8 +76,13 @@ def train(
     beta: float = 1.0,
     l1: float = 10.0,
     l2: float = 1.0,
+    most_features: int = 50_000_000,
 ) -> Model:
-    """Learns from the sample in mini-batches; ``alpha`` and ``beta`` set the rate of a coordinate."""
+    """Learns from the sample in mini-batches; ``alpha`` and ``beta`` set the rate of a coordinate.
+
+    The sample has ``positives`` and ``negatives`` rows at most, and, should its texts be very
+    long, those first in an order of hashes that hold ``most_features`` features.
+    """
     rows = labelled(labels, label, F.lit(True) if learnable is None else learnable)
     chosen = sampled(rows, positives, negatives)
     bad, fine = rows.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).head()
@@ -95,7 +100,17 @@ def train(
 
     # The sample is bounded by its two parameters, so it may be broadcast and learnt in one place.
     few = shared.texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "y")
-    table = shared.mapped(few, run, "doc_id long, y int, features array<int>").toArrow()
+    folder = shared.work_folder(docs.sparkSession)
+    few = shared.written(shared.mapped(few, run, "doc_id long, y int, features array<int>"), folder, "sample")
+    sizes = few.select("doc_id", "y", F.size("features").alias("n"), F.xxhash64("doc_id").alias("place")).toArrow().sort_by("place")
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= most_features
+    if not fits.all():
+        had, left = (np.bincount(sizes.column("y").to_numpy()[rows], minlength=2) for rows in (slice(None), fits))
+        shift += float(np.log((had[0] + 1) / (left[0] + 1)) - np.log((had[1] + 1) / (left[1] + 1)))
+        kept = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(sizes.column("doc_id").to_numpy()[fits].tolist()))], "doc_id long")
+        few = few.join(F.broadcast(kept), "doc_id", "left_semi")
+    table = few.toArrow()
+    shared.drop(docs.sparkSession, folder, "sample")
     y = table.column("y").to_numpy().astype(np.float64)
     rank = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     size = pc.list_value_length(table.column("features")).to_numpy()

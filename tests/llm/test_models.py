@@ -213,3 +213,60 @@ def test_sql(spark, name):
     columns = ", ".join(frame.columns)
     expected = connection.sql(f"SELECT {columns} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, frame.collect()))) == sorted(map(str, expected))
+
+
+def test_resampling_against_brute_force(spark):
+    """Odd columns and rows; the k kept have the k largest keys."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["sun", "rain", "wind", "$$", "buy"], k=rng.randint(0, 30))), "x", 1) for i in range(120)] + [(200, None, None, None), (201, "word " * 30_000, "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, bucket int").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    found = resampling.resampled(docs, target, 0.25).collect()
+    assert len(found) == len(rows)
+    kept = [r for r in found if r.kept]
+    assert len(kept) == round(0.25 * len(rows)) and {r.doc_id for r in found} == {r[0] for r in rows}
+    # Weights by plain counting, and the k largest keys.
+    def buckets(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return resampling.grams(data, np.array([0, len(data)]), resampling.BITS)[1].tolist()
+
+    held = {r[0]: buckets(r[1]) for r in rows}
+    raw, wanted = Counter(b for x in held.values() for b in x), Counter(b for i in range(0, 60, 3) for b in held[i])
+    size, total, seen = 1 << resampling.BITS, sum(raw.values()), sum(wanted.values())
+
+    def ratio(b):
+        base = (raw[b] + 1) / (total + size)
+        return np.log((wanted[b] + resampling.PRIOR * base) / (seen + resampling.PRIOR)) - np.log(base)
+
+    for r in found:
+        assert r.log_weight == pytest.approx(sum(ratio(b) for b in held[r.doc_id]), rel=1e-9, abs=1e-9)
+    assert {r.doc_id for r in kept} == {r.doc_id for r in sorted(found, key=lambda r: -r.gumbel_key)[: len(kept)]}
+
+
+def test_ftrl_equals_its_plain_form(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "d", "vile"], k=rng.randint(0, 12)))) for i in range(150)]
+    label = {i: int("vile" in t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    alpha, beta, l1, l2, bits, epochs = 0.5, 1.0, 0.3, 1.0, 14, 3
+    model = toxicity.train(docs, labels, bits=bits, epochs=epochs, batch=1, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    seen = {}
+    for i, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        seen[i] = sorted(set(toxicity.features(data, np.array([0, len(data)]), bits)[1].tolist()))
+    z, n, bad = Counter(), Counter(), sum(label.values())
+    bias, bias_n = float(np.log((bad + 1) / (len(rows) - bad + 1))), 0.0
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((beta + np.sqrt(n[f])) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)).tolist():
+            error = 1 / (1 + np.exp(-(bias + sum(weight(f) for f in seen[i])))) - label[i]
+            for f in seen[i]:
+                w, step = weight(f), (np.sqrt(n[f] + error**2) - np.sqrt(n[f])) / alpha
+                z[f] += error - step * w
+                n[f] += error**2
+            bias_n += error**2
+            bias -= alpha / (beta + np.sqrt(bias_n)) * error
+    expected = {f: weight(f) for f in z if weight(f)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(expected) and model.bias == pytest.approx(bias)
