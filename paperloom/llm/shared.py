@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ from pyspark.sql.types import StructField, StructType
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch, where the session says nothing else.
+BATCH_OPTION, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 #: Bits of a table that tells which keys may be wanted, as a power of two: 4 MB of rows.
 FILTER_BITS = 24
 
@@ -24,9 +28,14 @@ FILTER_BITS = 24
 def work_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
+    Also lets Arrow batches have fewer rows than by default, as rows are texts here: batches are
+    held twice on their way to a worker, outside the heap.
+
     Only in a local session without that setting a temporary folder takes its place; a cluster
     without it has no folder that all could read, which is an error.
     """
+    if spark.conf.get(BATCH_OPTION) == "10000":
+        spark.conf.set(BATCH_OPTION, str(BATCH_ROWS))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -89,8 +98,32 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidy() -> None:
+    """Returns the memory that a process no longer needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(function: Callable) -> Callable:
+    """``function`` of batches, after which its worker tidies up.
+
+    Workers outlive tasks and serve one operator after another; what each left behind would add up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(tidied(function), schema)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: list[str], least_rows: int = 20_000) -> Iterator[pa.Table]:
@@ -202,7 +235,7 @@ def rows_mapped(rows: DataFrame, function: Callable, schema: StructType) -> Data
     """
     plain = [c if c.isidentifier() else unused(f"column_{i}", rows) for i, c in enumerate(rows.columns)]
     kept = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, schema, strict=False)])
-    return rows.toDF(*plain).mapInArrow(function, kept).toDF(*schema.names)
+    return rows.toDF(*plain).mapInArrow(tidied(function), kept).toDF(*schema.names)
 
 
 def one_row(docs: DataFrame) -> DataFrame:

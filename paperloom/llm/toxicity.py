@@ -102,6 +102,21 @@ def train(
     few = shared.texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "y")
     folder = shared.work_folder(docs.sparkSession)
     few = shared.written(shared.mapped(few, run, "doc_id long, y int, features array<int>"), folder, "sample")
+    # A coordinate moves by less than one each time it is seen, so one that is seen in too few rows
+    # never passes l1 and its weight is zero whatever else happens: such features are left out.
+    seen = few.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    useful = np.zeros(1 << bits, bool)
+    useful[seen.where(F.col("n") * epochs > l1).select("feature").toArrow().column("feature").to_numpy()] = True
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            held = part.column("features")
+            flat, rows = held.flatten(), pc.list_parent_indices(held).to_numpy()
+            kept = useful[flat.to_numpy()]
+            cuts = np.searchsorted(rows[kept], np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.ListArray.from_arrays(pa.array(cuts), flat.filter(pa.array(kept)))], ["doc_id", "y", "features"])
+
+    few = shared.mapped(few, thinned, "doc_id long, y int, features array<int>")
     sizes = few.select("doc_id", "y", F.size("features").alias("n"), F.xxhash64("doc_id").alias("place")).toArrow().sort_by("place")
     fits = np.cumsum(sizes.column("n").to_numpy()) <= most_features
     if not fits.all():
@@ -111,6 +126,7 @@ def train(
         few = few.join(F.broadcast(kept), "doc_id", "left_semi")
     table = few.toArrow()
     shared.drop(docs.sparkSession, folder, "sample")
+    shared.tidy()
     y = table.column("y").to_numpy().astype(np.float64)
     rank = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     size = pc.list_value_length(table.column("features")).to_numpy()
@@ -146,6 +162,8 @@ def train(
             bias -= alpha / (beta + np.sqrt(bias_n)) * float(error.sum())
     w = weights(slice(None))
     kept = np.flatnonzero(w)
+    del flat, z, n
+    shared.tidy()
     return Model(bits, kept, w[kept], bias - shift)
 
 
