@@ -338,7 +338,10 @@ def single_windows(hot: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, folder: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """All documents' sizes and digests, and the spans to remove of those that have any."""
+    """All documents' sizes and digests, and the spans to remove of those that have any.
+
+    Tables and shuffle files go as soon as no later step reads them.
+    """
     spark = docs.sparkSession
     survey = shared.written(surveyed(docs, length, gram), folder, "survey")
     spots = survey.select("doc_id", F.explode(F.arrays_zip("anchor", "first", "windows", "ahead")).alias("s")).select("doc_id", "s.*")
@@ -346,25 +349,43 @@ def repeats(docs: DataFrame, folder: str, length: int = LENGTH, gram: int = GRAM
     spots = shared.perhaps(spots, common, "anchor").join(common.hint("merge"), "anchor")
     by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "ahead")).alias("spots"))
     by_doc = shared.written(by_doc, folder, "spots")
+    survey = shared.written(survey.select("doc_id", "n_bytes", "digest"), folder, "sizes")
+    shared.drop(spark, folder, "survey", "common")
+    shared.release(spark)
     some = shared.perhaps(shared.texts(docs), by_doc.select("doc_id"), "doc_id")
     found = shared.written(surroundings(some.join(by_doc.hint("merge"), "doc_id"), length), folder, "surroundings")
+    shared.drop(spark, folder, "spots")
+    shared.release(spark)
     kinds = found.groupBy("anchor", "hash1", "hash2").agg(F.count("*").alias("weight"), F.first("windows").alias("windows"), F.first("ahead").alias("ahead"))
     kinds = shared.written(kinds, folder, "kinds")
     # A place in two texts can share an anchor's hash with no other of its kind left.
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
     kinds = shared.written(kinds.join(sizes.hint("merge"), "anchor"), folder, "sized")
+    shared.drop(spark, folder, "kinds")
+    shared.release(spark)
     alone = kinds.where("kinds = 1 and weight > 1").select("anchor", "hash1", "hash2", F.array(F.lit(0)).alias("starts"), F.array(F.col("windows") + length - 1).alias("ends"))
     bytes_ = found.where("bytes is not null").select("anchor", "hash1", "hash2", "bytes")
-    several = bytes_.join(kinds.where("kinds > 1").hint("merge"), ["anchor", "hash1", "hash2"])
-    sorted_ = shared.written(grouped_spans(several.where(F.col("kinds") <= hot), length, gram), folder, "sorted")
-    single = shared.written(single_windows(several.where(F.col("kinds") > hot).dropDuplicates(["anchor", "hash1", "hash2"]), length), folder, "single")
+
+    def of(some: DataFrame) -> DataFrame:
+        """The kinds with their bytes; bytes of other anchors are not shuffled."""
+        return shared.perhaps(bytes_, some.select("anchor"), "anchor").join(some.hint("merge"), ["anchor", "hash1", "hash2"])
+
+    several = of(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= hot)))
+    sorted_ = shared.written(grouped_spans(several, length, gram), folder, "sorted")
+    shared.release(spark)
+    several = of(kinds.where((F.col("kinds") > 1) & (F.col("kinds") > hot)))
+    single = shared.written(single_windows(several.dropDuplicates(["anchor", "hash1", "hash2"]), length), folder, "single")
+    shared.release(spark)
     again = single.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
     lone = single.join(again.hint("merge"), "window").select("anchor", "hash1", "hash2", F.array(F.col("at")).alias("starts"), F.array(F.col("at") + length).alias("ends"))
     spans = alone.unionByName(sorted_).unionByName(lone)
     spans = found.drop("bytes", "windows", "ahead").join(spans.hint("merge"), ["anchor", "hash1", "hash2"])
     spans = spans.select("doc_id", F.explode(F.arrays_zip((F.transform("starts", lambda x: x + F.col("first"))).alias("start"), (F.transform("ends", lambda x: x + F.col("first"))).alias("end"))).alias("s"))
     spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start"), F.col("s.end")))).alias("spans"))
-    return survey.select("doc_id", "n_bytes", "digest"), shared.written(spans, folder, "spans")
+    spans = shared.written(spans, folder, "spans")
+    shared.drop(spark, folder, "surroundings", "sized", "sorted", "single")
+    shared.release(spark)
+    return survey, spans
 
 
 def kept_bytes(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:

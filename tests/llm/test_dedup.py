@@ -152,6 +152,28 @@ def test_suffix_array_dedup(docs, by_id, hot, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.digest).hex()) for r in found} == {i: x[:4] for i, x in expected.items()}
 
 
+def test_suffix_array_dedup_leaves_and_shuffles_no_more_than_it_needs(spark, docs, tmp_path, monkeypatch):
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    shuffled, write = {}, shared.written
+
+    def records():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    def written(df, folder, name):
+        before = records()
+        out = write(df, folder, name)
+        shuffled[name] = sum(n for stage, n in records().items() if stage not in before)
+        return out
+
+    monkeypatch.setattr(shared, "written", written)
+    suffixarray.repeats(docs, f"file://{tmp_path}")
+    assert {p.name for p in tmp_path.iterdir()} == {"sizes", "spans"}
+    # No anchor is hot, so no surrounding has to be dealt out by window.
+    assert shuffled["sorted"] > 0 and shuffled["single"] == 0
+
+
 def test_suffix_array_rewrite_keeps_rows_and_columns(docs, by_id):
     expected = repeats_of(by_id, 200)
     found = suffixarray.rewritten(docs)
